@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding
+from . import mixing, quality, sharding, token_counts, token_ids, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op3_token_counts": token_counts.op3_token_counts,
     "op4_hash_tree_shards": sharding.op4_hash_tree_shards,
     "op5_robust_outliers": quality.op5_robust_outliers,
+    "op6_token_ids": token_ids.op6_token_ids,
+    "op7_pivotal_mix": mixing.op7_pivotal_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.OP1_SQL}
