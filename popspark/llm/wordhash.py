@@ -20,6 +20,8 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 SAME, LOWER = np.arange(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Separators when punctuation is not part of words: all ASCII characters but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: list[np.ndarray] = []
 
 
@@ -52,8 +54,10 @@ class Words:
         return self.data[self.start[a] : self.end[b - 1]].tobytes() if b > a else b""
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """The words of a column of texts; nulls have none. ``lower``: A-Z count as a-z."""
+def words_of(column: pa.Array, lower: bool = False, bare: bool = False) -> Words:
+    """The words of a column of texts; nulls have none. ``lower``: A-Z count as a-z. ``bare``: words end at ASCII
+    punctuation, and capital letters of Latin-1 count as small ones too."""
+    spaces = NOT_ALNUM if bare else IS_SPACE
     column = column.cast(pa.large_string()).fill_null("")
     texts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[texts[0] : texts[-1]]
@@ -61,15 +65,15 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     table, starts, ends, hashes, at = LOWER if lower else SAME, [], [], [], 0
     while at < len(data):
         to = min(at + SLAB, len(data))
-        while to < len(data) and not IS_SPACE[data[to]]:  # on to the end of the word or text
-            space = np.flatnonzero(IS_SPACE[data[to : to + 65536]])
+        while to < len(data) and not spaces[data[to]]:  # on to the end of the word or text
+            space = np.flatnonzero(spaces[data[to : to + 65536]])
             stop = to + (int(space[0]) if len(space) else min(65536, len(data) - to))
             edge = texts[np.searchsorted(texts, to)]
             to, done = min(stop, int(edge)), len(space) > 0 or edge <= stop
             if done:
                 break
         part = data[at:to]
-        solid = ~IS_SPACE[part]
+        solid = ~spaces[part]
         cut = np.zeros(len(part) + 1, bool)
         lo, hi = np.searchsorted(texts, [at, to], side="left")
         cut[texts[lo:hi] - at] = True
@@ -79,8 +83,11 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
         stops[:-1] &= ~solid[1:] | cut[1:-1]
         s, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
         power, inverse = _powers(len(part))
+        part = table[part]
+        if bare and lower:
+            part[1:] += ((part[:-1] == 0xC3) & (part[1:] >= 0x80) & (part[1:] <= 0x9E) & (part[1:] != 0x97)).astype(np.uint8) * np.uint8(32)
         sums = np.zeros(len(part) + 1, U)
-        np.cumsum((table[part].astype(U) + U(1)) * power, out=sums[1:])
+        np.cumsum((part.astype(U) + U(1)) * power, out=sums[1:])
         hashes.append(mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93)))
         starts.append(s + at)
         ends.append(e + at)
