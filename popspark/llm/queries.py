@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, mixing, quality, sharding, token_counts, token_ids, url_filter
+from . import decontaminate, jaccard_join, line_dedup, mixing, passages, quality, sharding, token_counts, token_ids, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,7 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_robust_outliers": quality.op5_robust_outliers,
     "op6_token_ids": token_ids.op6_token_ids,
     "op7_pivotal_mix": mixing.op7_pivotal_mix,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_tiled_jaccard": jaccard_join.op9_tiled_jaccard,
+    "op10_chained_passages": passages.op10_chained_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.OP1_SQL}

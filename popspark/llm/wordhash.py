@@ -14,7 +14,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 #: Bytes that are worked on at once; a longer word is taken whole.
-SLAB = 1 << 20
+SLAB = 1 << 17
 U = np.uint64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
