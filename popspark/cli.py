@@ -15,7 +15,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="popspark", description=__doc__)
     sub = top.add_subparsers(dest="command", required=True)
 
-    def command(name: str, *arguments: str, **options: dict) -> None:
+    def command(name: str, /, *arguments: str, **options: dict) -> None:
         p = sub.add_parser(name)
         for a in arguments:
             p.add_argument(a, **({"nargs": "+"} if a in ("inputs", "values", "ids") else {}))
