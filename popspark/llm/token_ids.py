@@ -38,7 +38,7 @@ from .common import new_path, table
 
 MAGIC, SAMPLE_EVERY = b"PSTB", 256
 #: Ids after which a block ends, and texts that are remembered.
-BLOCK_IDS, REMEMBERED = 1 << 19, 300_000
+BLOCK_IDS, REMEMBERED = 1 << 19, 700_000
 #: White space other than blank and line feed.
 OTHER_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -114,24 +114,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or r"(?!)")
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
+        self.bytes_of[list(names.values())] = [len(n) for n in names]  # a byte-level name has a character for each byte
         self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        if OTHER_SPACE.search(text) or self.special.search(text):
-            return self._plain([text])[0]
-        chunks = CHUNK.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            new = list(set(chunks) - self.known.keys())
-            made = dict(zip(new, self._plain(new), strict=True))
-            if len(self.known) + len(made) > REMEMBERED:
-                self.known = {c: b for c in set(chunks) - made.keys() for b in [self.known[c]]}
-            self.known |= made
-            return b"".join(map(self.known.__getitem__, chunks))
+        self.before: dict[str, bytes] = {}  # what was known before it grew too large
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [bool(OTHER_SPACE.search(t) or self.special.search(t)) for t in texts]
+        apart = iter(self._plain([t for t, w in zip(texts, whole, strict=True) if w]))
+        chunks = [[] if w else CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
+        got = [list(map(self.known.get, some)) for some in chunks]
+        missing = {c for some, there in zip(chunks, got, strict=True) if None in there for c, g in zip(some, there, strict=True) if g is None}
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        again = {c: b for c in missing if (b := self.before.get(c)) is not None}
+        self._learn([c for c in missing if c not in again])
+        self.known.update(again)
+        new = self.known
+        filled = [[new[c] if g is None else g for c, g in zip(some, there, strict=True)] if None in there else there for some, there in zip(chunks, got, strict=True)]
+        return [next(apart) if w else b"".join(some) for some, w in zip(filled, whole, strict=True)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks that begin with white space are encoded as one text, which keeps them apart, and cut by their bytes."""
+        joined = [c for c in chunks if c[0] in " \n" and c[-1] not in " \n"]
+        rest = [c for c in chunks if not (c[0] in " \n" and c[-1] not in " \n")]
+        self.known.update(zip(rest, self._plain(rest), strict=True))
+        if not joined:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, "<u4")
+        ends, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode()) for c in joined])
+        cuts = np.searchsorted(ends, wanted) + 1
+        if cuts[-1] != len(ids) or (ends[cuts - 1] != wanted).any():
+            self.known.update(zip(joined, self._plain(joined), strict=True))
+            return
+        data, at = ids.tobytes(), 0
+        for c, to in zip(joined, (4 * cuts).tolist(), strict=True):
+            self.known[c] = data[at:to]
+            at = to
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 
 @functools.cache
@@ -165,6 +188,20 @@ def parsed(payload: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     return doc_ids, ef, np.frombuffer(view, f"<u{width}", total, at + used)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of about 256 KB of characters at a time."""
+    ids, texts, held = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids.append(doc_id)
+        texts.append(text.as_py() or "")
+        held += len(texts[-1])
+        if held >= 1 << 18:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _blocks(path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(path), struct.pack("<I", end_id)
@@ -179,16 +216,16 @@ def _blocks(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["part", "block", "before", "docs", "ids", "payload"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                doc_ids.append(doc_id)
-                lengths.append(len(ids) // 4)
-                parts.append(ids)
-                held += lengths[-1]
-                if held >= BLOCK_IDS:
-                    yield full()
-                    number, before = number + 1, before + held
-                    doc_ids, lengths, parts, held = [], [], [], 0
+            for ids_of, texts in _slices(batch):
+                for doc_id, ids in zip(ids_of, encoder.encode(texts), strict=True):
+                    doc_ids.append(doc_id)
+                    lengths.append(len(ids) // 4 + 1)
+                    parts += (ids, end)
+                    held += lengths[-1]
+                    if held >= BLOCK_IDS:
+                        yield full()
+                        number, before = number + 1, before + held
+                        doc_ids, lengths, parts, held = [], [], [], 0
         if doc_ids:
             yield full()
 
