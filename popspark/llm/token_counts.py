@@ -105,8 +105,9 @@ class Counter:
         except KeyError:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            for part in set(parts) - self.known.keys():
-                self.known[part] = self.viterbi(part.replace(" ", BLANK))
+            for part in set(parts):
+                if part not in self.known:
+                    self.known[part] = self.viterbi(part.replace(" ", BLANK))
             return sum(map(self.known.__getitem__, parts))
 
 
