@@ -3,11 +3,11 @@
 1. Documents become sets of hashed n-grams. Equal sets are one node, so copies cost nothing further.
 2. A set's n-grams are ordered rare ones first (``rarity``); two sets that link share one among the first
    n - ceil(t n) + 1 of each. Sets that share such an n-gram stand in one tile.
-3. Only components are asked for, so pairs inside a component need no test. In rounds, a tile compares a hub with its
-   members of other components, in tables of pairs; then components are taken anew. What still has two components
-   after the rounds is compared in full, each set with those of its size band.
-4. A pair is tested in this order: sizes; an upper bound of the overlap from counts of hashed bitmaps' bits; exact
-   intersection of the sorted sets. Sets are made again from the texts of tile members only.
+3. In small tiles all pairs of near sizes are tested. Only components are asked for, so in large tiles pairs inside a
+   component need no test: in rounds, a tile compares a few hubs with its members of other components; then components are
+   taken anew. What still has two components after the rounds is compared in full, in tiles by size band.
+4. A pair is tested in this order: sizes and lone bits of a small hashed bitmap, in the join itself; an upper bound of
+   the overlap from bit counts of a large bitmap; exact intersection of the sorted sets, made again from the texts of such pairs only.
 
 Defined cases: texts without words have an empty set and link with nothing; texts with fewer words than n are one
 n-gram; null ids are never a component's id unless all its ids are null; repeated rows share a component; an empty
@@ -22,19 +22,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rarity
-from .common import table, written
+from .common import small_batches, table, written
 from .components import components
 from .wordhash import as_long, mix, shingles, words_of
 
-BITMAP = 1024
 #: Tile members that are looked up by a broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Members of a tile that are all compared with each other; larger tiles go in rounds.
+SMALL_TILE = 32
 #: Rounds of hubs before what is left is compared in full.
-ROUNDS = 3
+ROUNDS = 2
+#: Hubs of a tile in a round.
+HUBS = 3
+SETS, PAIRS = "node binary, elements binary", "a binary, b binary"
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,12 @@ def _sets(column: pa.Array, p: Params) -> Iterator[np.ndarray]:
         yield np.unique(shingles(w.hash[a:b], p.n))
 
 
+def _all_ngrams(column: pa.Array, p: Params) -> Iterator[np.ndarray]:
+    w = words_of(column, p.lower)
+    for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+        yield shingles(w.hash[a:b], p.n)
+
+
 def _node(x: np.ndarray) -> bytes:
     """16 bytes that stand for a set."""
     m = mix(x)
@@ -62,23 +72,43 @@ def _node(x: np.ndarray) -> bytes:
 
 
 def _bitmap(x: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(mix(x) % np.uint64(BITMAP)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    """A bitmap of one to two bits for each element."""
+    bits = np.zeros(1 << max(8, len(x).bit_length()), np.uint8)
+    bits[(mix(x) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, size: int) -> int:
+    """The bitmap of ``size`` bytes: places are the low bits of hashes, so halves are joined by OR."""
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half], "little") | int.from_bytes(bits[half:], "little")).to_bytes(half, "little")
+    return int.from_bytes(bits, "little")
 
 
-NODES = "k1 long, k2 long, doc_id long, n_shingles long, node binary, prefix array<long>"
+def _words(x: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * len(WORDS), np.uint8)
+    bits[(mix(x + np.uint64(9)) % np.uint64(len(bits))).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+#: Longs of the small bitmap that pairs are pruned by inside Spark.
+WORDS = ("w0", "w1", "w2", "w3")
+NODES = "k1 long, k2 long, doc_id long, n_shingles long, node binary, prefix array<long>, bits binary, " + ", ".join(f"{w} long" for w in WORDS)
 
 
 def _nodes(p: Params, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, node, prefix = [], [], []
+            size, node, prefix, bits, small = [], [], [], [], []
             for x in _sets(batch.column(3), p):
                 size.append(len(x))
                 node.append(_node(x))
                 prefix.append(rarity.rare_first(x, counts.value)[: p.prefix(len(x)) if len(x) else 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names=["k1", "k2", "doc_id", "n_shingles", "node", "prefix"])
+                bits.append(_bitmap(x))
+                small.append(_words(x))
+            longs = np.array(small, np.int64).reshape(-1, len(WORDS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), *[pa.array(longs[:, i]) for i in range(len(WORDS))]], names=["k1", "k2", "doc_id", "n_shingles", "node", "prefix", "bits", *WORDS])
 
     return run
 
@@ -86,10 +116,9 @@ def _nodes(p: Params, counts):
 def _full_sets(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(w, x) for w, x in zip(batch.column(0).to_pylist(), _sets(batch.column(1), p), strict=True) if _node(x) == w]
-            for i in range(0, len(found), 500):
-                part = found[i : i + 500]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([len(x) for _, x in part], pa.int64()), pa.array([_bitmap(x) for _, x in part], pa.binary()), pa.array([x.tobytes() for _, x in part], pa.binary())], names=["node", "size", "bits", "elements"])
+            for w, x in zip(batch.column(0).to_pylist(), _sets(batch.column(1), p), strict=True):
+                if _node(x) == w:
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["node", "elements"])
 
     return run
 
@@ -113,7 +142,7 @@ def _kept(test):
 def _bounded(p: Params):
     def may_link(size_a: int, bits_a: bytes, size_b: int, bits_b: bytes) -> bool:
         # An element sets one bit, so each bit that one side has alone is an element that the other side lacks.
-        a, b = int.from_bytes(bits_a), int.from_bytes(bits_b)
+        a, b = (_folded(x, min(len(bits_a), len(bits_b))) for x in (bits_a, bits_b))
         return min(size_a - (a & ~b).bit_count(), size_b - (b & ~a).bit_count()) >= _needed(p, size_a, size_b)
 
     return _kept(may_link)
@@ -128,80 +157,94 @@ def _exact(p: Params):
     return _kept(links)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) that link. Only pairs that the bitmaps let through have their sets brought together."""
-
-    def met(left: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-        for x in "ab":
-            left = left.join(sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
-        return left.select("a", "b", *[f"{c}_{x}" for x in "ab" for c in columns])
-
-    near = met(pairs, ("size", "bits")).mapInArrow(_bounded(p), "a binary, b binary")
-    return met(near, ("elements",)).mapInArrow(_exact(p), "a binary, b binary")
+def _met(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Pairs (a, b) with ``columns`` of both nodes."""
+    for x in "ab":
+        pairs = pairs.join(table.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]), x)
+    return pairs.select("a", "b", *[f"{c}_{x}" for x in "ab" for c in columns])
 
 
 def grouped(docs: DataFrame, p: Params | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """k1, k2 (hashes of the whole row), doc_id, n_shingles and component_id of every row of ``docs``."""
-    p = p or Params()
+    """k1, k2 (hashes of the whole row), doc_id, n_shingles and component_id of every row of ``docs``.
+
+    ``component`` names the component where ids repeat; it is null for an empty set.
+    """
+    p, spark = p or Params(), docs.sparkSession
+    small_batches(spark)
     bare = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.xxhash64(*bare).alias("k1"), F.xxhash64(F.lit(1), *bare).alias("k2"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    counts = rarity.table_of(docs.select(F.col(f"`{text}`").alias("text")), lambda batch: _sets(batch.column(0), p))
+    counts = rarity.table_of(docs.select(F.col(f"`{text}`").alias("text")), lambda batch: _all_ngrams(batch.column(0), p))
     nodes = written(rows.mapInArrow(_nodes(p, counts), NODES), "jaccard-nodes")
     full = nodes.where("n_shingles > 0")
-    classes = full.groupBy("node").agg(F.first("prefix").alias("prefix"), F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("row"))
+    classes = written(full.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("row"), F.first("bits").alias("bits"), *[F.first(w).alias(w) for w in WORDS]), "jaccard-classes")
     posted = classes.select("node", F.explode("prefix").alias("token"))
-    tiles = posted.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    members = written(posted.join(tiles, "token"), "jaccard-tiles")
-
-    wanted = written(members.select("node").distinct().join(classes.select("node", "row"), "node").select("node", "row.k1", "row.k2"), "jaccard-wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = rows.select("k1", "k2", "text").join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("node", "text")
-    sets = written(texts.mapInArrow(_full_sets(p), "node binary, size long, bits binary, elements binary").dropDuplicates(["node"]), "jaccard-sets")
-
-    members = members.join(sets.select("node", "size"), "node")
-    links, labels, tested = None, None, None
-    for turn in range(ROUNDS + 1):
-        if labels is None:
-            labelled = members.withColumn("root", F.col("node"))
-        else:
-            labelled = members.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "size")).alias("hub")).where("low <> high")
-        open_tiles = labelled.join(split.select("token", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.size").alias("hub_size")), "token")
-        if turn < ROUNDS:
-            pairs = open_tiles.where(F.col("root") != F.col("hub_root")).where(F.least("size", "hub_size") * p.den >= F.greatest("size", "hub_size") * p.num).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        else:
-            # Sizes that can link are in one band or in two next to each other.
-            left = open_tiles.select("token", "node", "root", "size", F.floor(F.ln("size") / F.lit(math.log(p.den / p.num))).alias("band"))
-            other = left.select("token", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("node").alias("node2"), F.col("root").alias("root2"), F.col("size").alias("size2"))
-            pairs = left.join(other, ["token", "band"]).where("node < node2 AND root <> root2").where(F.least("size", "size2") * p.den >= F.greatest("size", "size2") * p.num).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
+    tiles = posted.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    members = posted.join(tiles, "token").join(classes.select("node", "size", *WORDS), "node")
+    members = written(members.select("token", "members", "node", "size", *WORDS), "jaccard-tiles")
+    small, large = members.where(F.col("members") <= SMALL_TILE).drop("members"), members.where(F.col("members") > SMALL_TILE).drop("members")
+
+    def as_other(x: DataFrame, *also: str) -> DataFrame:
+        return x.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "size", *WORDS, *also)])
+
+    def may_link() -> Column:
+        """Near sizes, and not more lone bits than elements that linked sets may not share."""
+        lone = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in WORDS[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("w02"))))
+        both = F.col("size") + F.col("size2")
+        return (F.least("size", "size2") * p.den >= F.greatest("size", "size2") * p.num) & (lone * (p.num + p.den) <= both * (p.den - p.num))
+
+    pair = (F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    few_each = small.join(as_other(small), "token").where((F.col("node") < F.col("node2")) & may_link()).select(*pair)
+    no_sets = spark.createDataFrame([], SETS)
+    tested, links, labels, sets = spark.createDataFrame([], PAIRS), spark.createDataFrame([], PAIRS), None, no_sets
+    any_large = not large.isEmpty()
+    for turn in range(ROUNDS + 1 if any_large else 1):
+        new = few_each if turn == 0 else None
+        if any_large:
+            labelled = large.withColumn("root", F.col("node")) if labels is None else large.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            several = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), *[F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + i), "node").alias("h"), "node", "root", "size", *WORDS)).alias(f"hub{i}") for i in range(HUBS)]).where("low <> high")
+            if turn < ROUNDS:
+                hubs = several.select("token", F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hub")).select("token", "hub.node", "hub.root", "hub.size", *[f"hub.{w}" for w in WORDS])
+                met = labelled.join(as_other(hubs, "root"), "token")
+            else:
+                # Sizes that can link are in one band or in two next to each other.
+                banded = labelled.join(several.select("token"), "token").withColumn("band", F.floor(F.ln("size") / F.lit(math.log(p.den / p.num))))
+                met = banded.join(as_other(banded, "root", "band").withColumn("band", F.explode(F.sequence(F.col("band2") - 1, F.col("band2") + 1))), ["token", "band"])
+            met = met.where((F.col("root") != F.col("root2")) & may_link()).select(*pair)
+            new = met if new is None else new.unionByName(met)
+        pairs = new.distinct()
+        pairs = written(pairs if turn == 0 else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
         if pairs.isEmpty():
             continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(_links(pairs, sets, p), "jaccard-links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        tested = tested.unionByName(pairs)
+        near = written(_met(pairs, classes, ("size", "bits")).mapInArrow(_bounded(p), PAIRS), "jaccard-near")
+        used = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+        wanted = written((used if turn == 0 else used.join(sets.select("node"), "node", "left_anti")).join(classes.select("node", "row"), "node").select("node", "row.k1", "row.k2"), "jaccard-wanted")
+        if n_wanted := wanted.count():
+            texts = rows.select("k1", "k2", "text").join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, ["k1", "k2"]).select("node", "text")
+            more = written(texts.mapInArrow(_full_sets(p), SETS), "jaccard-sets")
+            if more.count() > n_wanted:  # rows that are equal in all columns
+                more = written(more.dropDuplicates(["node"]), "jaccard-sets")
+            sets = more if turn == 0 else sets.unionByName(more)
+        found = written(_met(near, sets, ("elements",)).mapInArrow(_exact(p), PAIRS), "jaccard-links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
     own = classes.select("node", "least")
     if labels is not None:
         own = own.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
         roots = own.groupBy("root").agg(F.min("least").alias("component_id"))
-        own = own.join(roots, "root").select("node", "component_id")
+        own = own.join(roots, "root").select("node", "component_id", "root")
     else:
-        own = own.select("node", F.col("least").alias("component_id"))
+        own = own.select("node", F.col("least").alias("component_id"), F.col("node").alias("root"))
     joined = nodes.join(own, (nodes["node"] == own["node"]) & (nodes["n_shingles"] > 0), "left")
-    return joined.select("k1", "k2", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("k1", "k2", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("root").alias("component"))
 
 
 def one_of_each(docs: DataFrame, p: Params, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the least id. Texts without words all stay."""
     bare = [F.col(f"`{c}`") for c in docs.columns]
     found = grouped(docs, p, doc_id, text)
-    least = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2")).alias("r")).select("r.k1", "r.k2")
+    least = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2")).alias("r")).select("r.k1", "r.k2")
     stays = least.unionByName(found.where("n_shingles = 0").select("k1", "k2").distinct())
     keyed = docs.select(F.xxhash64(*bare).alias("__k1"), F.xxhash64(F.lit(1), *bare).alias("__k2"), F.struct(*bare).alias("__doc"))
     kept = keyed.join(stays.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), ["__k1", "__k2"])
