@@ -32,8 +32,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, mb: int = 8) -> None:
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done: it does so when the driver's JVM collects garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, mb: int = 8, rows: int = 2000) -> None:
     """Arrow batches of bounded size in this session, so that long rows don't add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 

@@ -1,10 +1,10 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line is the set of its words. Lines with one set are one class, whose first line (by document id, row, line number)
+A line is the set of its words. Lines with one set are one class, whose first line (by document id, line number, row)
 stands for all; later ones go. A class goes, too, if an earlier class has a Jaccard similarity of 0.8 or more with it.
 Words are ordered rare ones first (``rarity``); two such sets share a word among the first n - ceil(t n) + 1 of each
 (prefix filter). Pairs that share one must pass the length filter and the positional filter, which bounds the overlap
-by the words that come after the shared one. Each class of a word's list is first compared with the earliest class of
+by the words that come after the shared one; counts of hashed bits bound it, too. Each class of a word's list is first compared with the earliest class of
 the list; only classes that this doesn't remove are compared with all earlier ones of the list. Pairs that are left
 are verified on whole sets, made again from the texts of lines in such pairs only.
 
@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rarity
-from .common import table, written
+from .common import release, small_batches, table, written
 from .wordhash import mix, words_of
 
 BROADCAST_ROWS = 200_000
@@ -46,6 +46,17 @@ class Lines:
     first: np.ndarray
 
 
+def _grades(counts: np.ndarray) -> np.ndarray:
+    """Eight bits for each slot that rise with its count."""
+    if id(counts) not in _GRADES:
+        _GRADES.clear()
+        _GRADES[id(counts)] = np.minimum(255, 8 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint64)
+    return _GRADES[id(counts)]
+
+
+_GRADES: dict[int, np.ndarray] = {}
+
+
 def _lines(column: pa.Array, counts: np.ndarray | None = None) -> Lines:
     """Words in the order of ``rarity`` if ``counts`` are given, else by hash."""
     w = words_of(column)
@@ -53,9 +64,15 @@ def _lines(column: pa.Array, counts: np.ndarray | None = None) -> Lines:
     line = np.searchsorted(breaks, w.start) + (np.searchsorted(w.texts, w.start, side="right") - 1)  # texts part lines, too
     ids, at = np.unique(line, return_index=True)
     of = np.searchsorted(ids, line)
-    # Lines stay in order, so each can be sorted in one go over all.
-    order = np.lexsort((w.hash, of) if counts is None else (w.hash, counts[rarity.slots(w.hash)], of))
+    # Lines stay in order, so all are sorted in one go: by line, then by count (halves of powers of two) and hash.
+    top = w.hash >> np.uint64(32)
+    if counts is not None:
+        top = (top >> np.uint64(8)) | (_grades(counts)[rarity.slots(w.hash)] << np.uint64(24))
+    order = np.argsort((of.astype(np.uint64) << np.uint64(32)) | top, kind="stable")
     of, words = of[order], w.hash[order]
+    if (((words[2:] == words[:-2]) & (words[2:] != words[1:-1])) & (of[2:] == of[:-2])).any():  # two words of one sort key
+        order = np.lexsort((w.hash, top, np.searchsorted(ids, line)))
+        of, words = np.searchsorted(ids, line)[order], w.hash[order]
     new = np.ones(len(words), bool)
     new[1:] = (words[1:] != words[:-1]) | (of[1:] != of[:-1])
     of, words = of[new], words[new]
@@ -72,12 +89,19 @@ def _node_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(m, first[:-1]), np.bitwise_xor.reduceat(mix(m), first[:-1])], axis=1).astype(">u8")
 
 
+def _bitmaps(x: Lines) -> np.ndarray:
+    """128 hashed bits of each set, as two longs."""
+    bits = np.zeros((len(x.first) - 1, 128), np.uint8)
+    bits[np.repeat(np.arange(len(bits)), np.diff(x.first)), (x.words & np.uint64(127)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
+
+
 def _binary(rows: np.ndarray, width: int) -> pa.Array:
     n = rows.size * rows.itemsize // width
     return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-LINES = "k1 long, k2 long, doc_id long, line int, node binary, size int, prefix array<long>"
+LINES = "k1 long, k2 long, doc_id long, line int, node binary, size int, prefix array<long>, w0 long, w1 long"
 
 
 def _emitted(p: Params, counts):
@@ -92,20 +116,19 @@ def _emitted(p: Params, counts):
             ends = np.concatenate([[0], np.cumsum(prefix)])
             at = np.arange(ends[-1]) - np.repeat(ends[:-1] - begin, prefix)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.words[at].view(np.int64)))
-            rows = pa.array(x.text[keep])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(x.number[keep].astype(np.int32)), _binary(node[keep], 16), pa.array(n.astype(np.int32)), lists], names=["k1", "k2", "doc_id", "line", "node", "size", "prefix"])
+            rows, small = pa.array(x.text[keep]), _bitmaps(x)[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(x.number[keep].astype(np.int32)), _binary(node[keep], 16), pa.array(n.astype(np.int32)), lists, pa.array(small[:, 0]), pa.array(small[:, 1])], names=["k1", "k2", "doc_id", "line", "node", "size", "prefix", "w0", "w1"])
 
     return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of some lines of each text, by node."""
+    """The sets of some lines of each text, by the names of their classes."""
     for batch in batches:
         x = _lines(batch.column(0))
-        wanted = {(i, n) for i, some in enumerate(batch.column(1).to_pylist()) for n in some}
-        keep = [i for i, key in enumerate(zip(x.text.tolist(), x.number.tolist(), strict=True)) if key in wanted]
-        node = _node_keys(x.words, x.first)[keep]
-        yield pa.RecordBatch.from_arrays([_binary(node, 16), pa.array([x.words[x.first[i] : x.first[i + 1]].tobytes() for i in keep], pa.binary())], names=["node", "elements"])
+        wanted = {(i, n): name for i, (some, names) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)) for n, name in zip(some, names, strict=True)}
+        found = [(wanted[key], x.words[x.first[i] : x.first[i + 1]].tobytes()) for i, key in enumerate(zip(x.text.tolist(), x.number.tolist(), strict=True)) if key in wanted]
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([e for _, e in found], pa.binary())], names=["name", "elements"])
 
 
 def _verified(p: Params):
@@ -122,59 +145,73 @@ def _verified(p: Params):
     return run
 
 
-def _may_match(p: Params, a: str, b: str) -> Column:
-    """Length filter and positional filter on members ``a`` and ``b`` of one word's list."""
-    size = [F.col(f"{x}.size") for x in (a, b)]
-    at = [F.col(f"{x}.at") for x in (a, b)]
+def _may_match(p: Params) -> Column:
+    """Length filter, positional filter on sizes and places (32 bits each) in a word's list, and lone bits: each is a
+    word that the other line lacks."""
+    size = [F.shiftright(F.col(f"{x}_size_at"), 32) for x in ("early", "late")]
+    at = [F.col(f"{x}_size_at").bitwiseAND(F.lit(0xFFFFFFFF)) for x in ("early", "late")]
     need = F.ceil(F.lit(p.num) * (size[0] + size[1]) / F.lit(p.num + p.den))
     most = F.least(*at) + 1 + F.least(size[0] - at[0] - 1, size[1] - at[1] - 1)
-    return (F.least(*size) * p.den >= F.greatest(*size) * p.num) & (most >= need)
+    lone = sum((F.bit_count(F.col(f"early_{w}").bitwiseXOR(F.col(f"late_{w}"))) for w in ("w1",)), F.bit_count(F.col("early_w0").bitwiseXOR(F.col("late_w0"))))
+    return (F.least(*size) * p.den >= F.greatest(*size) * p.num) & (lone <= size[0] + size[1] - 2 * need) & (most >= need)
 
 
 def removals(docs: DataFrame, p: Params | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """k1, k2 (hashes of the row), doc_id, line, and doc_id and line of an earlier line that is like it."""
     p = p or Params()
+    small_batches(docs.sparkSession)
     bare = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.xxhash64(*bare).alias("k1"), F.xxhash64(F.lit(1), *bare).alias("k2"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    counts = rarity.table_of(docs.select(F.col(f"`{text}`").alias("text")), lambda batch: iter([_lines(batch.column(0)).words]))
+    counts = rarity.table_of(docs.select(F.col(f"`{text}`").alias("text")), lambda batch: iter([words_of(batch.column(0)).hash]))
     lines = written(rows.mapInArrow(_emitted(p, counts), LINES), "lines")
-    where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "line")
-    classes = written(lines.groupBy("node").agg(F.min(where).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "line-classes")
-
-    posted = classes.select("node", "first", "size", F.posexplode("prefix").alias("at", "word"))
-    hubs = posted.groupBy("word").agg(F.min(F.struct("first", "node", "size", "at")).alias("hub"), F.max("first").alias("last")).where(F.col("hub.first") < F.col("last"))
-    members = written(posted.join(hubs.select("word", "hub"), "word"), "line-lists")
-    one = members.where(F.col("node") != F.col("hub.node")).withColumn("m", F.struct("size", "at")).where(_may_match(p, "hub", "m"))
-    pairs = written(one.select(F.col("hub.node").alias("early"), F.col("node").alias("late")).distinct(), "line-pairs")
-
-    found = written(_matched(pairs, members, rows, p), "line-links")
-    gone = found.select(F.col("late").alias("node")).distinct()
-    # Only hubs are sure to stand before all; what they don't remove meets each earlier member of its lists.
-    alive = members.drop("hub").join(gone, "node", "left_anti")
-    late = alive.select("word", F.struct("size", "at").alias("y"), F.col("node").alias("late"), F.col("first").alias("late_first"))
-    early = members.select("word", F.struct("size", "at").alias("x"), F.col("node").alias("early"), F.col("first").alias("early_first"))
-    rest = late.join(early, "word").where(F.col("early_first") < F.col("late_first")).where(_may_match(p, "x", "y")).select("early", "late").distinct().join(pairs, ["early", "late"], "left_anti")
+    where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line", "k1", "k2")
+    # A class's name begins with the place of its first line, so names are in the order of first lines.
+    id_part = F.when(F.col("first.no_id"), F.lit("f" * 16)).otherwise(F.lpad(F.hex(F.col("first.doc_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    name = F.concat(F.unhex(F.concat(id_part, F.lpad(F.hex("first.line"), 8, "0"))), F.substring("node", 1, 12))
+    classes = lines.groupBy("node").agg(F.min(where).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("w0").alias("w0"), F.first("w1").alias("w1"))
+    classes = written(classes.withColumn("name", name), "line-classes")
+    release(docs.sparkSession)
+
+    packed = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at")
+    posted = classes.select("name", "size", "w0", "w1", F.posexplode("prefix").alias("at", "word")).select("word", "name", packed, "w0", "w1")
+    near = (F.col("early") < F.col("late")) & _may_match(p)
+    parts = ("size_at", "w0", "w1")
+    named = lambda x: posted.select("word", F.col("name").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in parts])
+    # A running first value: a word's list streams by in order of first lines, and only its head is kept.
+    head = F.first(F.struct("name", *parts)).over(Window.partitionBy("word").orderBy("name").rowsBetween(Window.unboundedPreceding, 0))
+    headed = posted.withColumn("h", head).where(F.col("h.name") < F.col("name"))
+    headed = headed.select(F.col("h.name").alias("early"), *[F.col(f"h.{c}").alias(f"early_{c}") for c in parts], F.col("name").alias("late"), *[F.col(c).alias(f"late_{c}") for c in parts])
+    pairs = written(headed.where(near).select("early", "late").distinct(), "line-pairs")
+    release(docs.sparkSession)
+
+    found = written(_matched(pairs, classes, rows, p), "line-links")
+    gone = written(found.select("late").distinct(), "line-gone")
+    # Only heads are sure to stand before all; what they don't remove meets each earlier member of its lists.
+    late = named("late").join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "late", "left_anti")
+    rest = late.join(named("early"), "word").where(near).select("early", "late").distinct().join(pairs, ["early", "late"], "left_anti")
     rest = written(rest, "line-pairs")
+    release(docs.sparkSession)
     if not rest.isEmpty():
-        found = found.unionByName(_matched(rest, members, rows, p))
+        found = found.unionByName(_matched(rest, classes, rows, p))
 
-    source = classes.select(F.col("node").alias("early"), "first")
-    near = found.join(source, "early").groupBy(F.col("late").alias("node")).agg(F.min("first").alias("source"))
-    fates = classes.select("node", "first").join(near, "node", "left")
-    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "line")
+    source = classes.select(F.col("name").alias("early"), "first")
+    near = found.join(source, "early").groupBy(F.col("late").alias("name")).agg(F.min("first").alias("source"))
+    fates = classes.select("node", "name", "first").join(near, "name", "left").drop("name")
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line", "k1", "k2")
     judged = lines.select("k1", "k2", "doc_id", "line", "node", at.alias("at")).join(fates, "node")
     out = judged.withColumn("from", F.when(F.col("at") > F.col("first"), F.least("first", F.coalesce("source", "first"))).otherwise(F.col("source"))).where(F.col("from").isNotNull())
     return out.select("k1", "k2", "doc_id", "line", F.col("from.doc_id").alias("source_doc_id"), F.col("from.line").alias("source_line"))
 
 
-def _matched(pairs: DataFrame, members: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
-    nodes = pairs.select(F.col("early").alias("node")).unionByName(pairs.select(F.col("late").alias("node"))).distinct()
-    at = members.select("node", "first").distinct().join(nodes, "node")
-    wanted = written(at.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list("first.line").alias("numbers")), "line-wanted")
+def _matched(pairs: DataFrame, classes: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
+    """The pairs whose sets, made again from the classes' first lines, are alike."""
+    names = pairs.select(F.col("early").alias("name")).unionByName(pairs.select(F.col("late").alias("name"))).distinct()
+    at = classes.select("name", "node", "first").join(names, "name")
+    wanted = written(at.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "name")).alias("lines")), "line-wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    texts = rows.select("k1", "k2", "text").join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("text", "numbers")
-    sets = written(texts.mapInArrow(_sets, "node binary, elements binary").dropDuplicates(["node"]), "line-sets")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("elements").alias(f"set_{x}"))
+    texts = rows.select("k1", "k2", "text").join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("text", F.transform("lines", lambda x: x["line"]).alias("numbers"), F.transform("lines", lambda x: x["name"]).alias("names"))
+    sets = written(texts.mapInArrow(_sets, "name binary, elements binary").dropDuplicates(["name"]), "line-sets")
+    side = lambda x: sets.select(F.col("name").alias(x), F.col("elements").alias(f"set_{x}"))
     return pairs.join(side("early"), "early").join(side("late"), "late").select("early", "late", "set_early", "set_late").mapInArrow(_verified(p), "early binary, late binary")
 
 
