@@ -35,9 +35,9 @@ BROADCAST_ROWS = 200_000
 #: Members of a tile that are all compared with each other; larger tiles go in rounds.
 SMALL_TILE = 32
 #: Rounds of hubs before what is left is compared in full.
-ROUNDS = 2
-#: Hubs of a tile in a round.
-HUBS = 3
+ROUNDS = 3
+#: Hubs of a tile in each round: few while most members are apart, more for those that are left.
+HUBS = (3, 12, 24)
 SETS, PAIRS = "node binary, elements binary", "a binary, b binary"
 
 
@@ -201,14 +201,15 @@ def grouped(docs: DataFrame, p: Params | None = None, doc_id: str = "doc_id", te
         new = few_each if turn == 0 else None
         if any_large:
             labelled = large.withColumn("root", F.col("node")) if labels is None else large.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            several = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), *[F.min(F.struct(F.xxhash64(F.lit(turn * HUBS + i), "node").alias("h"), "node", "root", "size", *WORDS)).alias(f"hub{i}") for i in range(HUBS)]).where("low <> high")
+            hubs_now = HUBS[turn] if turn < ROUNDS else 0
+            several = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), *[F.min(F.struct(F.xxhash64(F.lit(100 * turn + i), "node").alias("h"), "node", "root", "size", *WORDS)).alias(f"hub{i}") for i in range(hubs_now)]).where("low <> high")
             if turn < ROUNDS:
-                hubs = several.select("token", F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("hub")).select("token", "hub.node", "hub.root", "hub.size", *[f"hub.{w}" for w in WORDS])
+                hubs = several.select("token", F.explode(F.array(*[f"hub{i}" for i in range(hubs_now)])).alias("hub")).select("token", "hub.node", "hub.root", "hub.size", *[f"hub.{w}" for w in WORDS])
                 met = labelled.join(as_other(hubs, "root"), "token")
             else:
                 # Sizes that can link are in one band or in two next to each other.
                 banded = labelled.join(several.select("token"), "token").withColumn("band", F.floor(F.ln("size") / F.lit(math.log(p.den / p.num))))
-                met = banded.join(as_other(banded, "root", "band").withColumn("band", F.explode(F.sequence(F.col("band2") - 1, F.col("band2") + 1))), ["token", "band"])
+                met = banded.join(as_other(banded, "root", "band").withColumn("band", F.explode(F.sequence(F.col("band2") - 1, F.col("band2") + 1))), ["token", "band"]).where(F.col("node") < F.col("node2"))
             met = met.where((F.col("root") != F.col("root2")) & may_link()).select(*pair)
             new = met if new is None else new.unionByName(met)
         pairs = new.distinct()
