@@ -159,7 +159,8 @@ def judged(stats: DataFrame, groups: DataFrame, p: Params | None = None, keys: t
 def kept_documents(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """The documents that pass, columns as given. Statistics are worked out twice, so no text is shuffled or stored."""
     narrow = written(with_stats(docs.select("lang", "source", "text")).drop("text"), "quality")
-    whole = judged(with_stats(docs), fit(narrow, p), p)
+    # Filters don't move below a row number, so the statistics are not worked out again for them.
+    whole = judged(with_stats(docs).withColumn("__row", F.monotonically_increasing_id()), fit(narrow, p), p)
     return whole.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
