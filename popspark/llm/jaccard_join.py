@@ -71,11 +71,11 @@ def _node(x: np.ndarray) -> bytes:
     return np.array([m.sum(dtype=np.uint64) ^ np.uint64(len(x)), np.bitwise_xor.reduce(mix(m)) if len(m) else 0], ">u8").tobytes()
 
 
-def _bitmap(x: np.ndarray) -> bytes:
+def _bitmap(x: np.ndarray) -> np.ndarray:
     """A bitmap of one to two bits for each element."""
     bits = np.zeros(1 << max(8, len(x).bit_length()), np.uint8)
     bits[(mix(x) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def _folded(bits: bytes, size: int) -> int:
@@ -94,7 +94,7 @@ def _words(x: np.ndarray) -> np.ndarray:
 
 #: Longs of the small bitmap that pairs are pruned by inside Spark.
 WORDS = ("w0", "w1", "w2", "w3")
-NODES = "k1 long, k2 long, doc_id long, n_shingles long, node binary, prefix array<long>, bits binary, " + ", ".join(f"{w} long" for w in WORDS)
+NODES = "k1 long, k2 long, doc_id long, n_shingles long, node binary, prefix array<long>, bits array<long>, " + ", ".join(f"{w} long" for w in WORDS)
 
 
 def _nodes(p: Params, counts):
@@ -108,7 +108,7 @@ def _nodes(p: Params, counts):
                 bits.append(_bitmap(x))
                 small.append(_words(x))
             longs = np.array(small, np.int64).reshape(-1, len(WORDS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary()), *[pa.array(longs[:, i]) for i in range(len(WORDS))]], names=["k1", "k2", "doc_id", "n_shingles", "node", "prefix", "bits", *WORDS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(node, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), *[pa.array(longs[:, i]) for i in range(len(WORDS))]], names=["k1", "k2", "doc_id", "n_shingles", "node", "prefix", "bits", *WORDS])
 
     return run
 
@@ -140,7 +140,8 @@ def _kept(test):
 
 
 def _bounded(p: Params):
-    def may_link(size_a: int, bits_a: bytes, size_b: int, bits_b: bytes) -> bool:
+    def may_link(size_a: int, longs_a: list[int], size_b: int, longs_b: list[int]) -> bool:
+        bits_a, bits_b = (np.array(x, np.int64).tobytes() for x in (longs_a, longs_b))
         # An element sets one bit, so each bit that one side has alone is an element that the other side lacks.
         a, b = (_folded(x, min(len(bits_a), len(bits_b))) for x in (bits_a, bits_b))
         return min(size_a - (a & ~b).bit_count(), size_b - (b & ~a).bit_count()) >= _needed(p, size_a, size_b)
@@ -157,6 +158,17 @@ def _exact(p: Params):
     return _kept(links)
 
 
+def _lone(a: Column, b: Column) -> Column:
+    """Bits that one of two bitmaps has alone; of a longer one the halves are joined: near sizes differ by one doubling."""
+
+    def folded(x: Column, n: Column) -> Column:
+        half = F.zip_with(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")), lambda u, v: u.bitwiseOR(v))
+        return F.when(F.size(x) > n, half).otherwise(x)
+
+    n = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(folded(a, n), folded(b, n), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, x: t + x)
+
+
 def _met(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Pairs (a, b) with ``columns`` of both nodes."""
     for x in "ab":
@@ -208,8 +220,8 @@ def grouped(docs: DataFrame, p: Params | None = None, doc_id: str = "doc_id", te
                 met = labelled.join(as_other(hubs, "root"), "token")
             else:
                 # Sizes that can link are in one band or in two next to each other.
-                banded = labelled.join(several.select("token"), "token").withColumn("band", F.floor(F.ln("size") / F.lit(math.log(p.den / p.num))))
-                met = banded.join(as_other(banded, "root", "band").withColumn("band", F.explode(F.sequence(F.col("band2") - 1, F.col("band2") + 1))), ["token", "band"]).where(F.col("node") < F.col("node2"))
+                banded = labelled.join(several.select("token"), "token").join(classes.select("node", "bits"), "node").withColumn("band", F.floor(F.ln("size") / F.lit(math.log(p.den / p.num))))
+                met = banded.join(as_other(banded, "root", "band", "bits").withColumn("band", F.explode(F.sequence(F.col("band2") - 1, F.col("band2") + 1))), ["token", "band"]).where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & may_link() & (_lone(F.col("bits"), F.col("bits2")) * (p.num + p.den) <= (F.col("size") + F.col("size2")) * (p.den - p.num)))
             met = met.where((F.col("root") != F.col("root2")) & may_link()).select(*pair)
             new = met if new is None else new.unionByName(met)
         pairs = new.distinct()
