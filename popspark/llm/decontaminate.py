@@ -13,7 +13,7 @@ The benchmark is cut into passages of at most 64 words and handled in blocks, ea
    0.45 or more are candidates. What the terms alone can't tell (benchmark passages with almost no weighted term) is a
    candidate for every passage that shares half of its words.
 4. Check. Around the best place, the longest common subsequence of words. A copy has 70 % of the benchmark passage in
-   order and 60 % of its weight; a paraphrase has 50 % in order and nearly all words of its answer, its last sentence.
+   order and 60 % of its weight; a paraphrase has 50 % in order and nearly all words of its answer, its last sentence (of one to four words, all).
 
 A passage longer than a block's words is in several blocks' terms by hashing. Everything in a pass is done within a
 document, so nothing is shuffled but the sums. Defined cases: null or empty texts and items match nothing; items of
@@ -307,7 +307,7 @@ class Search:
             there = np.isin(query.words, w.hash[lo:hi])
             if need.sum() <= 0 or (need * there).sum() >= p.copy_weight * need.sum():
                 kind = "copy"
-        if kind is None and len(query.answer) >= 3:
+        if kind is None:
             masks: dict[int, int] = {}
             for i, x in enumerate(query.answer.tolist()):
                 masks[x] = masks.get(x, 0) | 1 << i

@@ -76,3 +76,15 @@ def test_singular_vectors_are_those_of_the_matrix(spark):
     _, _, vt = np.linalg.svd(np.vstack([a, np.sqrt(times) * own]), full_matrices=False)
     cosines = np.linalg.svd(vt[:6] @ latent.vectors[columns])[1]
     assert cosines.min() > 0.99
+
+
+def test_paraphrases_of_items_with_short_answers(spark):
+    rng = random.Random(8)
+    items = [(i, sentence(rng, 40) + f". Answer{i}" + (" indeed." if i % 2 else ".")) for i in range(6)]
+    docs = []
+    for i, text in items:
+        part = [w if k % 3 or k > 38 else "zzz" for k, w in enumerate(text.split())]  # two thirds stay, and the answer
+        docs.append((i, " ".join([sentence(rng, 50), *part, sentence(rng, 50)]), "en", "s", 0))
+        docs.append((100 + i, " ".join([sentence(rng, 50), *part[:40], sentence(rng, 50)]), "en", "s", 0))
+    got = D.matches(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in range(6)} and sum(r.kind == "paraphrase" for r in got) >= 4
