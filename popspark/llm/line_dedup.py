@@ -112,7 +112,8 @@ def _emitted(p: Params, counts):
             node = _node_keys(x.words, x.first)
             keep = np.flatnonzero(size >= p.least_words)
             n, begin = size[keep], x.first[:-1][keep]
-            prefix = n - -(-p.num * n // p.den) + 1
+            # Where a set with one word more is not like enough, only equal sets are, and those are one class.
+            prefix = np.where(p.den * n < p.num * (n + 1), 0, n - -(-p.num * n // p.den) + 1)
             ends = np.concatenate([[0], np.cumsum(prefix)])
             at = np.arange(ends[-1]) - np.repeat(ends[:-1] - begin, prefix)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.words[at].view(np.int64)))
@@ -230,5 +231,5 @@ def deduplicated(docs: DataFrame, p: Params | None = None, doc_id: str = "doc_id
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), Params(least_words=1))
     return out.select("doc_id", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", "source_doc_ids")

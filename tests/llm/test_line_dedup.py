@@ -52,3 +52,12 @@ def test_odd_rows(spark, odd, empty, odd_rows):
         cut[r.doc_id].append(r.removed_lines)
     assert cut[8] == [[0]] and cut[9] == [[0, 1]] and cut[12] == [[]] and cut[6] == [[]]
     assert L.deduplicated(empty).count() == 0
+
+
+def test_query_cuts_later_copies_of_short_lines(spark, tmp_path):
+    rng = random.Random(3)
+    docs = [(i, "\n".join(rng.choice(["Home", "Read more", "more Read", "ha ha ha", "Les.", "a b c", "a b c d", "", sentence(rng, 9)]) for _ in range(6)), "en", "s", 0) for i in range(60)]
+    spark.createDataFrame(docs, SCHEMA).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.removed_lines for r in L.op8_line_dedup(spark, str(tmp_path)).collect()}
+    expect = brute([d[:2] for d in docs], 1)
+    assert got == expect and sum(map(len, expect.values())) > 150
