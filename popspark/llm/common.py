@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,18 @@ SPACES = "[ \\t-\\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, seen by driver and executors; a temporary one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``, seen by driver and executors.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that is an error, as executors could not
+    see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
         named = "file://" + tempfile.mkdtemp(prefix="popspark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -29,18 +39,36 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
     path = new_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that are done: it does so when the driver's JVM collects garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
-def small_batches(spark: SparkSession, mb: int = 8, rows: int = 2000) -> None:
-    """Arrow batches of bounded size in this session, so that long rows don't add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.popspark_path = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``written`` that nothing reads any more."""
+    for path, spark in ((x.popspark_path, x.sparkSession) for x in tables if x is not None):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, mb: int = 8, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of bounded size for what runs inside, so that long rows don't add up in a Python worker."""
+    ours = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(mb << 20),
+    }
+    before = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def let(value: Column, body) -> Column:
@@ -53,5 +81,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def refuse(docs: DataFrame, names: set[str]) -> None:
+    """An error if ``docs`` has one of the columns that an operator adds."""
+    if clash := names & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} exist")
+
+
+def row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a whole row."""
+    bare = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*bare), F.xxhash64(F.lit(1), *bare)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
