@@ -1,16 +1,22 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's target divided by its size is the number of copies that each of its documents would get. The whole part is
-given at once; the fractional part is a probability of one more copy. Two documents with fractional probabilities
-meet: mass, counted in words, moves from one to the other, in a direction that the larger one draws by its
-probability, until one of them is 0 or 1; the other one meets the next. So the words that a source gives stay exactly
-at its target until one document of it is left, a small one, and only that one is rounded. Groups of documents (dealt
-by hash) round in parallel and hand on their last document; these residuals meet in groups of the next level of a
-tree, until each source has one.
+given at once; the fractional part is a probability of one more copy. Documents with fractional probabilities meet,
+the largest one first: mass, counted in words, moves between it and its partner until one of them is 0 or 1. A move up
+by x is drawn with the probability y / (x + y), where y is the move down, and each meeting draws anew. So the expected
+copies of every document stay target / size exactly, and the words that a source gives stay at its target until one
+document is left, which is rounded by its own probability.
+
+A partner is the next document, or, where they have room for both moves, several next ones together, each with a part
+of the move in proportion to its room. Then it is always the larger document that becomes integral, and what is left
+at a source's end is small. Groups of documents (dealt by hash) round in parallel and hand on their last document;
+these residuals meet in groups of the next level of a tree, until each source has one.
 
 Draws come from a hash of seed, source, level and group over sorted rows: reruns agree. Defined cases: a document
 without words takes none; rows that are equal in all columns are counted into one before any shuffle and share copies
-evenly; a null source is a source like others, last in order; a table without words takes nothing; extra columns pass.
+evenly; a null source is a source like others, last in order; a very long text is one document of that size; ties are
+broken by the row's hash; a table without words takes nothing; extra columns pass, and names that clash with the added
+ones are refused.
 """
 
 from __future__ import annotations
@@ -21,10 +27,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, words, written
+from .common import refuse, row_keys, table, words, written
 
 #: Rows that one task rounds, and residuals that meet at a node of the tree.
-GROUP_ROWS, FAN = 50_000, 64
+GROUP_ROWS, FAN = 10_000, 64
 #: Fixed value: most copies of a document, and so the most of its size that a source gives.
 MOST = 3
 #: Probabilities this near to 0 or 1 are integral.
@@ -52,25 +58,62 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: i
     return ranked.select("source", "source_size", F.least(F.col("__cap"), F.col("__w") * fill).alias("target"))
 
 
-def _pivot(size: list[int], p: list[float], draw: random.Random) -> int | None:
-    """Rounds ``p`` in place, sizes falling; gives the place that is left, if any.
+def _room(p: float) -> float:
+    """How far a probability can go up and down alike."""
+    return min(p, 1.0 - p) if EPS < p < 1 - EPS else 0.0
 
-    The first open document draws up or down by its probability and exchanges words with the next one until one of the
-    two is integral; if that is the next one, it goes on with the one after. So the larger ones are settled first, and
-    what is left at the end is small.
-    """
-    at = 0
-    while at < len(p):
-        if EPS < p[at] < 1 - EPS:
-            up, other = draw.random() < p[at], at + 1
-            while other < len(p) and EPS < p[at] < 1 - EPS:
-                move = min((1 - p[at]) * size[at], p[other] * size[other]) if up else -min(p[at] * size[at], (1 - p[other]) * size[other])
-                p[at] += move / size[at]
-                p[other] -= move / size[other]
-                other += not EPS < p[other] < 1 - EPS
-            if EPS < p[at] < 1 - EPS:
-                return at
-        at += 1
+
+def _pivot(size: list[int], p: list[float], draw: random.Random) -> int | None:
+    """Rounds ``p`` in place, sizes falling; gives the place that is left, if any."""
+    room = [s * _room(x) for s, x in zip(size, p, strict=True)]
+    behind, at, after, n = sum(room), 0, 0, len(p)
+
+    def moved(i: int, words: float) -> None:
+        p[i] += words / size[i]
+        room[i] = size[i] * _room(p[i])
+
+    while at < n:
+        behind -= room[at]
+        if not room[at]:
+            at += 1
+            continue
+        up, down = (1 - p[at]) * size[at], p[at] * size[at]
+        need, partners, found = max(up, down), [], 0.0
+        if behind >= need * (1 + EPS):
+            other = at + 1
+            while other < n and found < need:
+                if room[other]:
+                    partners.append(other)
+                    found += room[other]
+                other += 1
+        if found >= need:
+            move = up if draw.random() < down / (up + down) else -down
+            for i in partners:
+                behind -= room[i]
+                moved(i, -move * room[i] / found)
+                behind += room[i]
+            p[at] = 1.0 if move > 0 else 0.0
+            room[at] = 0.0
+            at += 1
+            continue
+        after = max(after, at + 1)
+        while after < n and not room[after]:
+            after += 1
+        if after == n:
+            return at
+        other = after
+        up, down = min(up, p[other] * size[other]), min(down, (1 - p[other]) * size[other])
+        move = up if draw.random() < down / (up + down) else -down
+        behind -= room[other]
+        moved(other, -move)
+        moved(at, move)
+        if room[at]:
+            behind += room[at]  # it meets the next one
+            if room[other]:
+                raise ArithmeticError("a meeting ended without a whole number")
+        else:
+            behind += room[other]
+            at += 1
     return None
 
 
@@ -98,10 +141,11 @@ def copies(docs: DataFrame, size: str, source: str = "source", seed: int = 0, we
 
     ``rows`` is how many equal rows there are and ``copies`` how many the mix has of them together.
     """
-    spark, own = docs.sparkSession, docs.columns
+    own = docs.columns
+    refuse(docs, {"rows", "row_key", "source_size", "target", "copies"})
     same_size, same_source = F.col(f"`{size}`"), F.col(f"`{source}`")
     counted = docs.groupBy(*[F.col(f"`{c}`") for c in own]).agg(F.count(F.lit(1)).alias("rows"))
-    key = F.concat_ws(":", F.lpad(F.hex(F.xxhash64(*own)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(1), *own)), 16, "0"))
+    key = F.concat_ws(":", *[F.lpad(F.hex(x), 16, "0") for x in row_keys(docs)])
     counted = written(counted.withColumn("row_key", key), "mix-rows")
     per_source = counted.groupBy(same_source.alias("source")).agg(F.sum(same_size * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("__n"))
     wanted = written(targets(per_source.drop("__n"), weights, most).join(per_source.select(F.col("source").alias("__s"), "__n"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s"), "mix-targets")
@@ -129,10 +173,10 @@ def copies(docs: DataFrame, size: str, source: str = "source", seed: int = 0, we
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """The documents of the mix, each row as often as the mix has it; columns as given."""
     own = docs.columns
-    bare = [F.col(f"`{c}`") for c in own]
-    slim = docs.select(F.xxhash64(*bare).alias("__a"), F.xxhash64(F.lit(1), *bare).alias("__b"), sizes(docs, text).alias("__size"), F.col(f"`{source}`").alias("__source"))
+    k1, k2 = row_keys(docs)
+    slim = docs.select(k1.alias("__a"), k2.alias("__b"), sizes(docs, text).alias("__size"), F.col(f"`{source}`").alias("__source"))
     drawn = copies(slim, "__size", "__source", seed).select("__a", "__b", "copies", "rows")
-    keyed = docs.select(F.xxhash64(*bare).alias("__a"), F.xxhash64(F.lit(1), *bare).alias("__b"), F.struct(*bare).alias("__doc"))
+    keyed = docs.select(k1.alias("__a"), k2.alias("__b"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("__doc"))
     single = keyed.join(drawn.where("rows = 1 AND copies > 0"), ["__a", "__b"])
     # Rows that are there more than once: their first one stands for all.
     many = keyed.join(drawn.where("rows > 1 AND copies > 0"), ["__a", "__b"]).groupBy("__a", "__b").agg(F.first("__doc").alias("__doc"), F.first("copies").alias("copies"))

@@ -81,3 +81,38 @@ def test_mixed_documents_are_the_copies(spark):
         per[r.source] += sizes[r.doc_id]
         taken[r.source] += n[r.doc_id] * sizes[r.doc_id]
     assert drawn.columns == docs.columns and all(abs(taken[s] - t) <= 200 for s, t in brute_targets(per).items())
+
+
+@pytest.mark.parametrize("sizes", [[100] * 16, [900, 400, 250, 90, 60, 40, 40, 30, 25, 10, 10, 5, 3, 2, 1, 1]])
+def test_each_document_keeps_its_expected_copies(sizes):
+    """Means over seeds are within four standard errors of the probabilities, and sums are those of the targets."""
+    rng, n = random.Random(5), 20_000
+    start = [0.3] * 8 + [rng.uniform(0.05, 0.95) for _ in range(8)]
+    total = [0] * 16
+    for seed in range(n):
+        draw, p = random.Random(seed), list(start)
+        left = M._pivot(sizes, p, draw)
+        assert sum(x * s for x, s in zip(p, sizes, strict=True)) == pytest.approx(sum(x * s for x, s in zip(start, sizes, strict=True)))
+        assert all(x < 1e-6 or x > 1 - 1e-6 or i == left for i, x in enumerate(p))
+        for i, x in enumerate(p):
+            total[i] += (draw.random() < x) if i == left else round(x)
+    for mean, q in zip([x / n for x in total], start, strict=True):
+        assert abs(mean - q) <= 4 * (q * (1 - q) / n) ** 0.5
+
+
+def test_expected_copies_hold_through_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(M, "GROUP_ROWS", 5)
+    monkeypatch.setattr(M, "FAN", 2)
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, rng.choice("ab"), rng.choice([1, 7, 30, 80])) for i in range(24)], "doc_id long, source string, size long").coalesce(1)
+    got, n = collections.defaultdict(list), 24
+    for seed in range(n):
+        for r in M.copies(docs, "size", seed=seed).collect():
+            got[r.doc_id].append((r.copies, r.target / r.source_size))
+    errors = [(sum(c for c, _ in x) / n - x[0][1]) for x in got.values()]
+    assert all(abs(e) <= 5 * 0.5 / n**0.5 for e in errors) and abs(sum(errors)) / len(errors) < 0.15
+
+
+def test_names_that_clash_are_refused(spark):
+    with pytest.raises(ValueError, match="copies"):
+        M.copies(spark.createDataFrame([(1, "a", 5)], "copies long, source string, size long"), "size")
