@@ -2,31 +2,49 @@
 
 A line is the set of its words. Lines with one set are one class, whose first line (by document id, line number, row)
 stands for all; later ones go. A class goes, too, if an earlier class has a Jaccard similarity of 0.8 or more with it.
-Words are ordered rare ones first (``rarity``); two such sets share a word among the first n - ceil(t n) + 1 of each
-(prefix filter). Pairs that share one must pass the length filter and the positional filter, which bounds the overlap
-by the words that come after the shared one; counts of hashed bits bound it, too. Each class of a word's list is first compared with the earliest class of
-the list; only classes that this doesn't remove are compared with all earlier ones of the list. Pairs that are left
-are verified on whole sets, made again from the texts of lines in such pairs only.
-
-Defined cases: null texts and lines of fewer than ``least_words`` different words are left as they are; an empty table
-gives an empty one; rows that are equal in all columns can't be told apart and are taken as one row.
+
+1. Words are ordered rare ones first (``rarity``); two such sets share a word among the first n - ceil(t n) + 1 of each
+   (prefix filter). So each class is posted under these words, with its size, the word's place and 128 hashed bits.
+2. The list of a word is read in order of size. Two classes of it are candidates if they pass the length filter, the
+   positional filter, which bounds the overlap by the words that come after the shared one, and a bound by the bits that
+   one of them has alone. Candidates are joined at once to groups, so no pairs are listed.
+3. A group's sets are made again from the texts of its lines only, meet in one task, and each is verified against those
+   of near size. A group too large for one task is compared in blocks (``blocks``); a list too long for memory is
+   joined to one group as it is.
+
+Defined cases: null texts and lines of fewer than ``least_words`` different words are left as they are; very long lines
+and texts are taken whole; of rows that are equal in all columns one is the first, and the others lose all lines that
+count; an empty table gives an empty one; extra columns pass, and names that clash with the added ones are refused.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rarity
-from .common import small_batches, table, written
+from .blocks import compared
+from .common import refuse, row_keys, small_batches, table, words, written
+from .components import components
 from .wordhash import mix, words_of
 
+#: Rows of about 100 bytes that are looked up by a broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Members of a group that one task compares, and their elements; postings that are read at once.
+MOST_MEMBERS, MOST_ELEMENTS, POSTINGS = 4096, 1 << 22, 1 << 18
+#: Pairs of postings that are tested at once.
+PAIRS = 1 << 20
+#: Bits of a size and of a place in a posting; what doesn't fit stands at the greatest value and passes the filters.
+SIZE_BITS, PLACE_BITS = 20, 12
+#: A line's name: null id, id, line number, row hash; names are in the order of lines.
+NAME = np.dtype([("no_id", "u1"), ("doc_id", ">u8"), ("line", ">u4"), ("row", ">u8")])
 
 
 @dataclass(frozen=True)
@@ -46,185 +64,397 @@ class Lines:
     first: np.ndarray
 
 
-def _grades(counts: np.ndarray) -> np.ndarray:
+def grades(counts: np.ndarray) -> np.ndarray:
     """Eight bits for each slot that rise with its count."""
-    if id(counts) not in _GRADES:
-        _GRADES.clear()
-        _GRADES[id(counts)] = np.minimum(255, 8 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint64)
-    return _GRADES[id(counts)]
-
-
-_GRADES: dict[int, np.ndarray] = {}
+    return np.minimum(255, 8 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint64)
 
 
-def _lines(column: pa.Array, counts: np.ndarray | None = None) -> Lines:
-    """Words in the order of ``rarity`` if ``counts`` are given, else by hash."""
+def _lines(column: pa.Array, grade: np.ndarray | None = None) -> Lines:
+    """Words in the order of ``rarity`` (in ``grades``, then by hash) if they are given, else by hash."""
     w = words_of(column)
     breaks = np.flatnonzero(w.data == 10)
-    line = np.searchsorted(breaks, w.start) + (np.searchsorted(w.texts, w.start, side="right") - 1)  # texts part lines, too
+    # Line feeds and texts part lines.
+    line = np.searchsorted(breaks, w.start) + (np.searchsorted(w.texts, w.start, side="right") - 1)
     ids, at = np.unique(line, return_index=True)
     of = np.searchsorted(ids, line)
-    # Lines stay in order, so all are sorted in one go: by line, then by count (halves of powers of two) and hash.
-    top = w.hash >> np.uint64(32)
-    if counts is not None:
-        top = (top >> np.uint64(8)) | (_grades(counts)[rarity.slots(w.hash)] << np.uint64(24))
-    order = np.argsort((of.astype(np.uint64) << np.uint64(32)) | top, kind="stable")
-    of, words = of[order], w.hash[order]
-    if (((words[2:] == words[:-2]) & (words[2:] != words[1:-1])) & (of[2:] == of[:-2])).any():  # two words of one sort key
-        order = np.lexsort((w.hash, top, np.searchsorted(ids, line)))
-        of, words = np.searchsorted(ids, line)[order], w.hash[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (of[1:] != of[:-1])
-    of, words = of[new], words[new]
+    # Lines stay in order, so all are sorted in one go: 24 bits of line, 8 of grade, 32 of hash.
+    rare = grade[rarity.slots(w.hash)] if grade is not None else np.zeros(len(of), np.uint64)
+    key = (of.astype(np.uint64) << np.uint64(40)) | (rare << np.uint64(32)) | (w.hash >> np.uint64(32))
+    order = np.argsort(key, kind="stable")
+    tied = (key[order[1:]] == key[order[:-1]]) & (w.hash[order[1:]] != w.hash[order[:-1]])
+    if tied.any() or len(ids) >= 1 << 24:
+        order = np.lexsort((w.hash, rare, of))
+    of, hashes = of[order], w.hash[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
+    of, hashes = of[new], hashes[new]
     text = np.searchsorted(w.texts, w.start[at], side="right") - 1
     number = np.searchsorted(breaks, w.start[at]) - np.searchsorted(breaks, w.texts[text])
-    return Lines(text, number, words, np.searchsorted(of, np.arange(len(ids) + 1)))
+    return Lines(text, number, hashes, np.searchsorted(of, np.arange(len(ids) + 1)))
 
 
-def _node_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _node_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """16 bytes for each set."""
     if len(first) < 2:
         return np.zeros((0, 2), ">u8")
-    m = mix(words)
+    m = mix(hashes)
     return np.stack([np.add.reduceat(m, first[:-1]), np.bitwise_xor.reduceat(mix(m), first[:-1])], axis=1).astype(">u8")
 
 
 def _bitmaps(x: Lines) -> np.ndarray:
     """128 hashed bits of each set, as two longs."""
     bits = np.zeros((len(x.first) - 1, 128), np.uint8)
-    bits[np.repeat(np.arange(len(bits)), np.diff(x.first)), (x.words & np.uint64(127)).astype(np.int64)] = 1
+    of = np.repeat(np.arange(len(bits)), np.diff(x.first))
+    bits[of, (x.words & np.uint64(127)).astype(np.int64)] = 1
     return np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
 
 
 def _binary(rows: np.ndarray, width: int) -> pa.Array:
     n = rows.size * rows.itemsize // width
-    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+    ends = (np.arange(n + 1) * width).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of one width, a row of bytes each."""
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first : first + width * len(column)].reshape(-1, width)
+
+
+def _names(ids: pa.Array, row: np.ndarray, number: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(number), NAME)
+    out["no_id"] = ids.is_null().to_numpy(zero_copy_only=False)
+    out["doc_id"] = ids.fill_null(0).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+    out["line"], out["row"] = number, row.view(np.uint64) ^ np.uint64(1 << 63)
+    return out
+
+
+def _named(name: str) -> dict[str, Column]:
+    """The parts of a name: doc_id, line, row."""
+    part = lambda at, n: F.conv(F.hex(F.substring(name, at, n)), 16, -10).cast("long")
+    signed = lambda at: part(at, 8).bitwiseXOR(F.lit(-(2**63)))
+    no_id = F.substring(name, 1, 1) == F.lit(b"\x01")
+    return {"doc_id": F.when(~no_id, signed(2)), "line": part(10, 4).cast("int"), "row": signed(14)}
+
 
+LINES = "node binary, name binary, size int, w0 long, w1 long, prefix array<int>"
 
-LINES = "k1 long, k2 long, doc_id long, line int, node binary, size int, prefix array<long>, w0 long, w1 long"
 
+def _emitted(p: Params, counts) -> Callable:
+    """Rows (doc_id, row hash, text) -> the lines that count."""
 
-def _emitted(p: Params, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grade = grades(counts.value)
         for batch in batches:
-            x = _lines(batch.column(3), counts.value)
+            x = _lines(batch.column(2), grade)
             size = np.diff(x.first)
-            node = _node_keys(x.words, x.first)
+            node, bits = _node_keys(x.words, x.first), _bitmaps(x)
             keep = np.flatnonzero(size >= p.least_words)
             n, begin = size[keep], x.first[:-1][keep]
             # Where a set with one word more is not like enough, only equal sets are, and those are one class.
             prefix = np.where(p.den * n < p.num * (n + 1), 0, n - -(-p.num * n // p.den) + 1)
             ends = np.concatenate([[0], np.cumsum(prefix)])
             at = np.arange(ends[-1]) - np.repeat(ends[:-1] - begin, prefix)
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.words[at].view(np.int64)))
-            rows, small = pa.array(x.text[keep]), _bitmaps(x)[keep]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(x.number[keep].astype(np.int32)), _binary(node[keep], 16), pa.array(n.astype(np.int32)), lists, pa.array(small[:, 0]), pa.array(small[:, 1])], names=["k1", "k2", "doc_id", "line", "node", "size", "prefix", "w0", "w1"])
+            posted = (x.words[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            text = pa.array(x.text[keep])
+            names = _names(batch.column(0).take(text), batch.column(1).take(text).to_numpy(), x.number[keep])
+            made = [
+                _binary(node[keep], 16),
+                _binary(names, NAME.itemsize),
+                pa.array(n.astype(np.int32)),
+                pa.array(bits[keep, 0]),
+                pa.array(bits[keep, 1]),
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(posted)),
+            ]
+            yield pa.RecordBatch.from_arrays(made, names=["node", "name", "size", "w0", "w1", "prefix"])
 
     return run
 
 
+CLASSES = "class long, name binary, source binary, size int, w0 long, w1 long, prefix array<int>"
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines sorted by set and name -> the first one of each set, numbered, and the others with its name as source."""
+    node, first, last = None, b"", b""
+    number = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nodes, names = _fixed(batch.column(0), 16), _fixed(batch.column(1), NAME.itemsize)
+        new = np.ones(len(nodes), bool)
+        new[1:] = (nodes[1:] != nodes[:-1]).any(axis=1)
+        new[0] = nodes[0].tobytes() != node
+        again = np.zeros(len(nodes), bool)  # the same line of a row that is there more than once
+        again[1:] = (names[1:] == names[:-1]).all(axis=1) & ~new[1:]
+        again[0] = not new[0] and names[0].tobytes() == last
+        begun = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        sources = np.where(begun[:, None] >= 0, names[begun], np.frombuffer(first or bytes(NAME.itemsize), np.uint8))
+        kept = np.flatnonzero(~again)
+        is_new = new[kept]
+        numbers = number + np.cumsum(is_new) - 1
+        number += int(is_new.sum())
+        node, last = nodes[-1].tobytes(), names[-1].tobytes()
+        first = names[begun[-1]].tobytes() if begun[-1] >= 0 else first
+        rows = batch.take(pa.array(kept))
+        unset = pa.array(~is_new)
+        blank = lambda c: pc.if_else(unset, pa.scalar(None, c.type), c)
+        made = [
+            blank(pa.array(numbers, pa.int64())),
+            rows.column(1),
+            pc.if_else(unset, _binary(np.ascontiguousarray(sources[kept]), NAME.itemsize), pa.scalar(None, pa.binary())),
+            blank(rows.column(2)),
+            blank(rows.column(3)),
+            blank(rows.column(4)),
+            blank(rows.column(5)),
+        ]
+        yield pa.RecordBatch.from_arrays(made, names=[x.split(" ")[0] for x in CLASSES.split(", ")])
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges a-b -> for each component the least node with each other one."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        before = label.copy()
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
+def candidates(key: np.ndarray, klass: np.ndarray, bits: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of classes that pass the filters, from postings sorted by word and size."""
+    top = (1 << SIZE_BITS) - 1
+    word, size, at = key >> 32, (key >> PLACE_BITS) & top, key & ((1 << PLACE_BITS) - 1)
+    group = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])).astype(np.int64) if len(key) else word
+    in_order = (group << SIZE_BITS) | size
+    low = np.searchsorted(in_order, (group << SIZE_BITS) | -(-p.num * size // p.den))
+    n, found = np.arange(len(key)) - low, [[np.zeros(0, np.int64)] * 2]
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(key):
+        base = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + PAIRS, side="right")))
+        some = n[start:stop]
+        late = np.repeat(np.arange(start, stop), some)
+        early = np.arange(len(late)) - np.repeat(np.cumsum(some) - some - low[start:stop], some)
+        a, b = size[early], size[late]
+        need = -(-p.num * (a + b) // (p.num + p.den))
+        most = np.minimum(at[early], at[late]) + 1 + np.minimum(a - at[early], b - at[late]) - 1
+        lone = np.bitwise_count(bits[early] ^ bits[late]).sum(axis=1, dtype=np.int64)
+        open_ = (((most >= need) & (lone <= a + b - 2 * need)) | (b == top)) & (klass[early] != klass[late])
+        if open_.any():
+            found.append(_stars(klass[early[open_]], klass[late[open_]]))
+        start = stop
+    return _stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _joined(p: Params, most: int) -> Callable:
+    """Postings (key, class, w0, w1) sorted by key -> stars of candidates. At most about ``most`` are held; a longer
+    list is joined as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, center = np.zeros((0, 4), np.int64), None
+
+        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        def tested(rows: np.ndarray) -> pa.RecordBatch:
+            return out(*candidates(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), p))
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            held = np.concatenate([held, rows]) if len(held) else rows
+            if center is not None and len(held):
+                same = held[:, 0] >> 32 == center[0]
+                k = len(held) if same.all() else int(same.argmin())
+                yield out(np.full(k, center[1]), held[:k, 1])
+                held = held[k:]
+                center = center if not len(held) else None
+            if len(held) < most:
+                continue
+            word = held[:, 0] >> 32
+            cut = len(word) - int((word == word[-1]).sum())
+            if cut:
+                yield tested(held[:cut])
+            held = held[cut:]
+            if len(held) >= most:
+                center = (word[-1], held[0, 1])
+                yield out(np.full(len(held) - 1, center[1]), held[1:, 1])
+                held = held[:0]
+        if len(held):
+            yield tested(held)
+
+    return run
+
+
+SETS = "node binary, group binary, size long, value binary"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of some lines of each text, by the names of their classes."""
+    """Rows (text, [(line, name, group)]) -> the sets of these lines."""
     for batch in batches:
         x = _lines(batch.column(0))
-        wanted = {(i, n): name for i, (some, names) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)) for n, name in zip(some, names, strict=True)}
-        found = [(wanted[key], x.words[x.first[i] : x.first[i + 1]].tobytes()) for i, key in enumerate(zip(x.text.tolist(), x.number.tolist(), strict=True)) if key in wanted]
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.binary()), pa.array([e for _, e in found], pa.binary())], names=["name", "elements"])
-
+        wanted = {}
+        for i, some in enumerate(batch.column(1).to_pylist()):
+            wanted |= {(i, one["line"]): (one["name"], one["group"]) for one in some}
+        at = [(i, wanted[k]) for i, k in enumerate(zip(x.text.tolist(), x.number.tolist(), strict=True)) if k in wanted]
+        parts = [x.words[x.first[i] : x.first[i + 1]] for i, _ in at]
+        made = [
+            pa.array([name for _, (name, _) in at], pa.binary()),
+            pa.array([group for _, (_, group) in at], pa.binary()),
+            pa.array([len(e) for e in parts], pa.int64()),
+            pa.array([e.tobytes() for e in parts], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(made, names=["node", "group", "size", "value"])
+
+
+FOUND = "late binary, early binary"
+
+
+def matched(names: list[bytes], sets: list[np.ndarray], p: Params) -> list[tuple[bytes, bytes]]:
+    """Each name with the least name before it whose set is alike; sets in order of size."""
+    size, rank = np.array([len(x) for x in sets]), np.empty(len(sets), np.int64)
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rank[order] = np.arange(len(order))
+    best = rank.copy()
+    elements, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    first, here = np.concatenate([[0], np.cumsum(size)]), np.zeros(len(elements), np.int32)
+    for i in range(1, len(sets)):
+        low, own = int(np.searchsorted(p.den * size[:i], p.num * size[i])), codes[first[i] : first[i + 1]]
+        if low == i:
+            continue
+        here[own] = 1
+        common = np.add.reduceat(here[codes[first[low] : first[i]]], first[low:i] - first[low])
+        here[own] = 0
+        alike = low + np.flatnonzero(common * (p.num + p.den) >= p.num * (size[low:i] + size[i]))
+        if len(alike):
+            best[i] = min(best[i], int(rank[alike].min()))
+            best[alike] = np.minimum(best[alike], rank[i])
+    return [(names[i], names[order[best[i]]]) for i in np.flatnonzero(best < rank).tolist()]
+
+
+def _verified(p: Params) -> Callable:
+    """Rows (group, size, node, value, label) sorted by group, size, node -> late and early names."""
 
-def _verified(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, names, sets = None, [], []
+
+        def found() -> list[tuple[bytes, bytes]]:
+            return matched(names, [np.frombuffer(x, np.uint64) for x in sets], p) if len(names) > 1 else []
+
+        def out(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], names=["late", "early"])
+
         for batch in batches:
-            keep = []
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if p.den * both >= p.num * (len(a) + len(b) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["early", "late"])
+            rows = []
+            for g, name, value in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if g != group:
+                    rows += found()
+                    group, names, sets = g, [], []
+                if not names or names[-1] != name:  # a hub may be in its own block, too
+                    names.append(name)
+                    sets.append(value)
+            yield out(rows)
+        yield out(found())
 
     return run
 
 
-def _may_match(p: Params) -> Column:
-    """Length filter, positional filter on sizes and places (32 bits each) in a word's list, and lone bits: each is a
-    word that the other line lacks."""
-    size = [F.shiftright(F.col(f"{x}_size_at"), 32) for x in ("early", "late")]
-    at = [F.col(f"{x}_size_at").bitwiseAND(F.lit(0xFFFFFFFF)) for x in ("early", "late")]
-    need = F.ceil(F.lit(p.num) * (size[0] + size[1]) / F.lit(p.num + p.den))
-    most = F.least(*at) + 1 + F.least(size[0] - at[0] - 1, size[1] - at[1] - 1)
-    lone = sum((F.bit_count(F.col(f"early_{w}").bitwiseXOR(F.col(f"late_{w}"))) for w in ("w1",)), F.bit_count(F.col("early_w0").bitwiseXOR(F.col("late_w0"))))
-    return (F.least(*size) * p.den >= F.greatest(*size) * p.num) & (lone <= size[0] + size[1] - 2 * need) & (most >= need)
+def _matches(classes: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
+    """late, early: names of classes' first lines and of earlier ones that are alike, the least of each task."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = F.least("size", F.lit((1 << SIZE_BITS) - 1)).cast("long")
+    place = F.least("at", F.lit((1 << PLACE_BITS) - 1)).cast("long")
+    key = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(size, PLACE_BITS)).bitwiseOR(place)
+    posted = classes.where("source IS NULL").select("class", "size", "w0", "w1", F.posexplode("prefix").alias("at", "word"))
+    posted = posted.select(key.alias("key"), "class", "w0", "w1").repartition(n, F.shiftright("key", 32))
+    groups = components(posted.sortWithinPartitions("key", "class").mapInArrow(_joined(p, POSTINGS), "a long, b long"))
+    named = F.unhex(F.lpad(F.hex("root"), 16, "0")).alias("group")
+    wanted = classes.where("source IS NULL").select("class", "name", "size").join(groups, F.col("class") == F.col("node"))
+    wanted = written(wanted.select("name", "size", named, *[c.alias(k) for k, c in _named("name").items()]), "line-wanted")
+    stats = wanted.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    large = written(stats.where((F.col("n") > MOST_MEMBERS) | (F.col("elements") > MOST_ELEMENTS)).select("group"), "line-large")
+    lines = F.collect_list(F.struct("line", "name", "group")).alias("lines")  # no more than the text has
+    by_row = written(wanted.groupBy("row", "doc_id").agg(lines), "line-rows")
+    few = wanted.count() <= BROADCAST_ROWS
+    same = rows["row"].eqNullSafe(by_row["row"]) & rows["doc_id"].eqNullSafe(by_row["doc_id"])
+    sets = rows.join(F.broadcast(by_row) if few else by_row, same).select("text", "lines").mapInArrow(_sets, SETS)
 
+    def found_in(blocks: DataFrame) -> DataFrame:
+        dealt = blocks.select("group", "size", "node", "value", "label").repartition(n, "group")
+        return dealt.sortWithinPartitions("group", "size", "node").mapInArrow(_verified(p), FOUND)
 
-def removals(docs: DataFrame, p: Params | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """k1, k2 (hashes of the row), doc_id, line, and doc_id and line of an earlier line that is like it."""
-    p = p or Params()
+    def left_of(placed: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+        everyone = placed.withColumn("label", F.lit(None).cast("binary"))
+        return everyone.join(first.select(F.col("late").alias("node")).distinct(), "node", "left_anti"), everyone
 
-    bare = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.xxhash64(*bare).alias("k1"), F.xxhash64(F.lit(1), *bare).alias("k2"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    counts = rarity.table_of(docs.select(F.col(f"`{text}`").alias("text")), lambda batch: iter([words_of(batch.column(0)).hash]))
-    lines = written(rows.mapInArrow(_emitted(p, counts), LINES), "lines")
-    where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line", "k1", "k2")
-    # A class's name begins with the place of its first line, so names are in the order of first lines.
-    id_part = F.when(F.col("first.no_id"), F.lit("f" * 16)).otherwise(F.lpad(F.hex(F.col("first.doc_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
-    name = F.concat(F.unhex(F.concat(id_part, F.lpad(F.hex("first.line"), 8, "0"))), F.substring("node", 1, 12))
-    classes = lines.groupBy("node").agg(F.min(where).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("w0").alias("w0"), F.first("w1").alias("w1"))
-    classes = written(classes.withColumn("name", name), "line-classes")
-
-    packed = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("size_at")
-    posted = classes.select("name", "size", "w0", "w1", F.posexplode("prefix").alias("at", "word")).select("word", "name", packed, "w0", "w1")
-    near = (F.col("early") < F.col("late")) & _may_match(p)
-    parts = ("size_at", "w0", "w1")
-    named = lambda x: posted.select("word", F.col("name").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in parts])
-    # A running first value: a word's list streams by in order of first lines, and only its head is kept.
-    head = F.first(F.struct("name", *parts)).over(Window.partitionBy("word").orderBy("name").rowsBetween(Window.unboundedPreceding, 0))
-    headed = posted.withColumn("h", head).where(F.col("h.name") < F.col("name"))
-    headed = headed.select(F.col("h.name").alias("early"), *[F.col(f"h.{c}").alias(f"early_{c}") for c in parts], F.col("name").alias("late"), *[F.col(c).alias(f"late_{c}") for c in parts])
-    pairs = written(headed.where(near).select("early", "late").distinct(), "line-pairs")
-
-    found = written(_matched(pairs, classes, rows, p), "line-links")
-    gone = written(found.select("late").distinct(), "line-gone")
-    # Only heads are sure to stand before all; what they don't remove meets each earlier member of its lists.
-    late = named("late").join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "late", "left_anti")
-    rest = late.join(named("early"), "word").where(near).select("early", "late").distinct().join(pairs, ["early", "late"], "left_anti")
-    rest = written(rest, "line-pairs")
-    if not rest.isEmpty():
-        found = found.unionByName(_matched(rest, classes, rows, p))
-
-    source = classes.select(F.col("name").alias("early"), "first")
-    near = found.join(source, "early").groupBy(F.col("late").alias("name")).agg(F.min("first").alias("source"))
-    fates = classes.select("node", "name", "first").join(near, "name", "left").drop("name")
-    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line", "k1", "k2")
-    judged = lines.select("k1", "k2", "doc_id", "line", "node", at.alias("at")).join(fates, "node")
-    out = judged.withColumn("from", F.when(F.col("at") > F.col("first"), F.least("first", F.coalesce("source", "first"))).otherwise(F.col("source"))).where(F.col("from").isNotNull())
-    return out.select("k1", "k2", "doc_id", "line", F.col("from.doc_id").alias("source_doc_id"), F.col("from.line").alias("source_line"))
-
-
-def _matched(pairs: DataFrame, classes: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
-    """The pairs whose sets, made again from the classes' first lines, are alike."""
-    names = pairs.select(F.col("early").alias("name")).unionByName(pairs.select(F.col("late").alias("name"))).distinct()
-    at = classes.select("name", "node", "first").join(names, "name")
-    wanted = written(at.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "name")).alias("lines")), "line-wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = rows.select("k1", "k2", "text").join(F.broadcast(wanted) if few else wanted, ["k1", "k2"]).select("text", F.transform("lines", lambda x: x["line"]).alias("numbers"), F.transform("lines", lambda x: x["name"]).alias("names"))
-    sets = written(texts.mapInArrow(_sets, "name binary, elements binary").dropDuplicates(["name"]), "line-sets")
-    side = lambda x: sets.select(F.col("name").alias(x), F.col("elements").alias(f"set_{x}"))
-    return pairs.join(side("early"), "early").join(side("late"), "late").select("early", "late", "set_early", "set_late").mapInArrow(_verified(p), "early binary, late binary")
+    unlabelled = F.lit(None).cast("binary")
+    if large.isEmpty():
+        return found_in(sets.withColumn("label", unlabelled))
+    sets = written(sets, "line-sets")
+    most = compared(sets.join(large, "group"), p.num / p.den, MOST_MEMBERS, MOST_ELEMENTS, found_in, left_of, least_hubs=True)
+    return found_in(sets.join(large, "group", "left_anti").withColumn("label", unlabelled)).unionByName(most)
+
+
+def removals(docs: DataFrame, p: Params | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """row (a hash of the whole row), doc_id, line, and doc_id and line of an earlier line that is like it."""
+    p, spark = p or Params(), docs.sparkSession
+    own_row, _ = row_keys(docs)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), own_row.alias("row"), F.col(f"`{text}`").alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with small_batches(spark):
+        counts = rarity.table_of(rows.select("text"), lambda batch: iter([words_of(batch.column(0)).hash]))
+        lines = rows.mapInArrow(_emitted(p, counts), LINES).repartition(n, "node").sortWithinPartitions("node", "name")
+        classes = written(lines.mapInArrow(_classes, CLASSES), "line-classes")
+        found = written(_matches(classes, rows, p), "line-found")
+    found = found.groupBy("late").agg(F.min("early").alias("early"))
+    copies = classes.where("source IS NOT NULL").select("name", "source")
+    copies = copies.join(found, F.col("source") == F.col("late"), "left")
+    gone = copies.select("name", F.coalesce("early", "source").alias("from")).unionByName(found.select(F.col("late").alias("name"), F.col("early").alias("from")))
+    own, source = _named("name"), _named("from")
+    return gone.select(own["row"].alias("row"), own["doc_id"].alias("doc_id"), own["line"].alias("line"), source["doc_id"].alias("source_doc_id"), source["line"].alias("source_line"))
 
 
 def deduplicated(docs: DataFrame, p: Params | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with later near-duplicate lines cut out of ``text``, and ``removed_lines`` (numbers from 0) and
     ``source_doc_ids`` (of the earlier lines) of each row."""
-    bare = [F.col(f"`{c}`") for c in docs.columns]
+    p = p or Params()
+    refuse(docs, {"removed_lines", "source_doc_ids", "__row", "__id", "__cut", "__doc", "__copy", "__rows"})
     cut = removals(docs, p, doc_id, text)
     # A row's lines only: as many as its text has.
-    cut = cut.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("line", "source_doc_id"))).alias("__cut")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__cut")
-    keyed = docs.withColumns({"__k1": F.xxhash64(*bare), "__k2": F.xxhash64(F.lit(1), *bare)}).join(cut, ["__k1", "__k2"], "left")
+    sources = F.sort_array(F.collect_set(F.struct("line", "source_doc_id"))).alias("__cut")
+    cut = written(cut.groupBy(F.col("row").alias("__row"), F.col("doc_id").alias("__id")).agg(sources), "line-cut")
+    own_row, _ = row_keys(docs)
+    key = [own_row.alias("__row"), F.col(f"`{doc_id}`").cast("long").alias("__id")]
+    repeated = written(docs.groupBy(*key).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1"), "line-repeated")
+    keyed = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    same = lambda other: F.col("k.__row").eqNullSafe(F.col(f"{other}.__row")) & F.col("k.__id").eqNullSafe(F.col(f"{other}.__id"))
+    numbered = keyed.withColumn("__copy", F.lit(0).cast("long"))
+    if not repeated.isEmpty():
+        # Equal rows can't be told apart: they are counted, and one is taken as the first.
+        many = keyed.alias("k").join(repeated.alias("r"), same("r")).groupBy("k.__row", "k.__id").agg(F.first("k.__doc").alias("__doc"), F.first("r.__rows").alias("__rows"))
+        many = many.select("__row", "__id", "__doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__rows") - 1)).alias("__copy"))
+        numbered = numbered.alias("k").join(repeated.alias("r"), same("r"), "left_anti").unionByName(many)
+    met = numbered.alias("k").join(cut.alias("c"), same("c"), "left").select("k.__doc", "k.__copy", "c.__cut")
+    body = F.col("__doc").getField(text)
+    lines = F.split(body, "\n", -1)
+    counted = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.size(F.array_distinct(words(x))).alias("n")))
+    every = F.transform(F.filter(counted, lambda x: x["n"] >= p.least_words), lambda x: F.struct(x["line"], F.col("__doc").getField(doc_id).cast("long").alias("source_doc_id")))
+    chosen = F.when(F.col("__copy") > 0, F.coalesce(every, F.col("__cut"))).otherwise(F.col("__cut"))
+    met = met.withColumn("__cut", F.coalesce(chosen, F.array().cast("array<struct<line:int,source_doc_id:bigint>>")))
     numbers = F.transform("__cut", lambda x: x["line"])
-    kept = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains(numbers, i)), "\n")
-    shown = [F.when(F.col("__cut").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return keyed.select(*shown, F.coalesce(numbers, F.array().cast("array<int>")).alias("removed_lines"), F.coalesce(F.transform("__cut", lambda x: x["source_doc_id"]), F.array().cast("array<bigint>")).alias("source_doc_ids"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(numbers, i)), "\n")
+    shown = [F.col("__doc").getField(c).alias(c) if c != text else F.when(F.size("__cut") > 0, kept).otherwise(body).alias(c) for c in docs.columns]
+    return met.select(*shown, numbers.alias("removed_lines"), F.transform("__cut", lambda x: x["source_doc_id"]).alias("source_doc_ids"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

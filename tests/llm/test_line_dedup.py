@@ -22,8 +22,11 @@ def brute(rows, least=3):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(0, False), (1, False), (2, True)])
+def test_against_brute_force(spark, monkeypatch, seed, small):
+    if small:  # long lists are joined as they are, and large groups go in blocks
+        monkeypatch.setattr(L, "MOST_MEMBERS", 3)
+        monkeypatch.setattr(L, "POSTINGS", 20)
     rng = random.Random(seed)
     pool = [sentence(rng, rng.randint(1, 25)) for _ in range(60)]
 
@@ -50,6 +53,7 @@ def test_odd_rows(spark, odd, empty, odd_rows):
     cut = defaultdict(list)
     for r in got:
         cut[r.doc_id].append(r.removed_lines)
+    assert sorted(cut[7]) == [[], [], [0]]  # the second of two equal rows is a later copy
     assert cut[8] == [[0]] and cut[9] == [[0, 1]] and cut[12] == [[]] and cut[6] == [[]]
     assert L.deduplicated(empty).count() == 0
 
@@ -61,3 +65,14 @@ def test_query_cuts_later_copies_of_short_lines(spark, tmp_path):
     got = {r.doc_id: r.removed_lines for r in L.op8_line_dedup(spark, str(tmp_path)).collect()}
     expect = brute([d[:2] for d in docs], 1)
     assert got == expect and sum(map(len, expect.values())) > 150
+
+
+def test_equal_rows_keep_one_copy_of_each_line(spark):
+    rows = [(1, "a b c d\nshort\ne f g", "en", "s", 0)] * 3 + [(2, "a b c d", "en", "s", 0)]
+    got = sorted((r.doc_id, r.removed_lines, r.text) for r in L.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect())
+    assert got == [(1, [], rows[0][1]), (1, [0, 2], "short"), (1, [0, 2], "short"), (2, [0], "")]
+
+
+def test_names_that_clash_are_refused(spark, odd):
+    with pytest.raises(ValueError, match="removed_lines"):
+        L.deduplicated(odd.withColumnRenamed("lang", "Removed_Lines"))
