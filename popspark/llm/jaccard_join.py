@@ -2,9 +2,10 @@
 
 1. Documents become sets of hashed n-grams. Equal sets are one node, so copies cost nothing further.
 2. A set's n-grams are ordered rare ones first (``rarity``); two sets that link share one among the first
-   n - ceil(t n) + 1 of each. Sets that share such an n-gram stand in one tile; tiles of the same members count once.
-3. In a tile, members stand in order of size, and each is compared with those of near size before it: bit counts of
-   hashed bitmaps bound the overlap from above. Members that the bound leaves together are joined; what is joined over
+   n - ceil(t n) + 1 of each. Sets that share such an n-gram stand in one tile, in order of size; it is cut where the
+   next size is too large to link. Tiles of the same members count once.
+3. In a tile, each member is compared with those of near size before it: bit counts of hashed bitmaps bound the overlap
+   from above. Members that the bound leaves together are joined; what is joined over
    all tiles is a candidate group. Linked sets always stand in one group, and each set is in one group only.
 4. A group's sets are made again from the texts of its members only, and meet in one task, in order of size: sorted
    codes of their elements are intersected, unless two sets are known to be in one component already.
@@ -20,7 +21,6 @@ repeated rows share a component; an empty table gives an empty one; extra column
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rarity
+from .blocks import compared
 from .common import discard, row_keys, small_batches, table, written
 from .components import components
 from .wordhash import mix, shingles, words_of
@@ -79,8 +80,8 @@ def _node(x: np.ndarray) -> bytes:
 
 
 def _bitmap(x: np.ndarray) -> bytes:
-    """A bitmap of two to four bits for each element, of a power of two and at least 256."""
-    bits = np.zeros(1 << max(8, len(x).bit_length() + 1), np.uint8)
+    """A bitmap of one to two bits for each element, of a power of two and at least 256."""
+    bits = np.zeros(1 << max(8, len(x).bit_length()), np.uint8)
     bits[(mix(x) & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -146,36 +147,39 @@ def _stars_of(center: np.ndarray, others: np.ndarray, most: int) -> Iterator[pa.
         yield _tiles_of(part, np.array([len(part)]), False)
 
 
-def _tiles(most: int) -> Callable:
-    """Runs of one token in rows (token, node) sorted by both; of a run longer than ``most`` only its first member is
-    kept in memory, and it goes in parts that have that member."""
+def _tiles(p: Params, most: int) -> Callable:
+    """Runs of one token in rows (token, size, node) sorted by all, cut where the next size is too large to link. Of a
+    run longer than ``most`` only the first member is kept in memory, and it goes in parts that have that member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held, center = None, np.zeros((0, 16), np.uint8), None
+        token, center = None, None
+        held, held_sizes = np.zeros((0, 16), np.uint8), np.zeros(0, np.int64)
         for batch in batches:
-            t, nodes = batch.column(0).to_numpy(), _names(batch.column(1))
+            t, sizes, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _names(batch.column(2))
             if center is not None:
                 goes_on = t == token
                 k = len(t) if goes_on.all() else int(goes_on.argmin())
                 yield from _stars_of(center, nodes[:k], most)
-                t, nodes = t[k:], nodes[k:]
+                t, sizes, nodes = t[k:], sizes[k:], nodes[k:]
                 center = center if not len(t) else None
             if not len(t):
                 continue
             if len(held):
-                t, nodes = np.concatenate([np.full(len(held), token), t]), np.concatenate([held, nodes])
-            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+                t = np.concatenate([np.full(len(held), token), t])
+                sizes, nodes = np.concatenate([held_sizes, sizes]), np.concatenate([held, nodes])
+            new = (t[1:] != t[:-1]) | (p.num * sizes[1:] > p.den * sizes[:-1])
+            first = np.flatnonzero(np.concatenate([[True], new]))
             size = np.diff(np.append(first, len(t)))
             ended = np.arange(len(size)) < len(size) - 1
             short = ended & (size > 1) & (size <= most)
             yield _tiles_of(nodes[np.repeat(short, size)], size[short], True)
             for i in np.flatnonzero(ended & (size > most)):
                 yield from _stars_of(nodes[first[i]], nodes[first[i] + 1 : first[i] + size[i]], most)
-            token, held = t[-1], nodes[first[-1] :]
+            token, held, held_sizes = t[-1], nodes[first[-1] :], sizes[first[-1] :]
             if len(held) > most:
                 center = held[0].copy()
                 yield from _stars_of(center, held[1:], most)
-                held = held[:0]
+                held, held_sizes = held[:0], held_sizes[:0]
         if len(held) > 1:
             yield _tiles_of(held, np.array([len(held)]), True)
 
@@ -327,8 +331,8 @@ def _full_sets(p: Params) -> Callable:
 def _candidate_groups(classes: DataFrame, p: Params) -> DataFrame:
     """node, root: the candidate group of each class that may link with another."""
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = classes.select(F.explode("prefix").alias("token"), "node").repartition(n, "token")
-    tiles = posted.sortWithinPartitions("token", "node").mapInArrow(_tiles(SMALL_TILE), TILES)
+    posted = classes.select(F.explode("prefix").alias("token"), "size", "node").repartition(n, "token")
+    tiles = posted.sortWithinPartitions("token", "size", "node").mapInArrow(_tiles(p, SMALL_TILE), TILES)
     tiles = written(tiles.groupBy("tile", "whole").agg(F.first("members").alias("members")), "jaccard-tiles")
     rows = tiles.where("whole").select(F.col("tile").alias("group"), F.explode("members").alias("node"))
     rows = rows.join(classes.select("node", "size", F.col("bits").alias("value")), "node")
@@ -342,39 +346,16 @@ def _candidate_groups(classes: DataFrame, p: Params) -> DataFrame:
 
 def _large_group_stars(sets: DataFrame, p: Params) -> DataFrame:
     """Stars of linked nodes of groups that are too large for one task, from their rows (node, group, size, value)."""
-    band = F.floor(F.ln("size") / max(math.log(p.den / p.num), 1e-9))
-    members = sets.withColumn("band", band)
-    parts = F.ceil(F.greatest(F.count(F.lit(1)) / SMALL_TILE, F.sum("size") / MOST_ELEMENTS)).cast("long")
-    bands = written(members.groupBy("group", "band").agg(parts.alias("parts")), "jaccard-bands")
-    placed = members.join(bands, ["group", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-
-    def in_block(rows: DataFrame, key: list[str], label=None) -> DataFrame:
-        name = F.struct(*key)
-        named = F.unhex(F.md5(F.to_json(name.withField("group", F.hex("group")))))
-        label = F.lit(None).cast("binary") if label is None else F.col(label)
-        return rows.select(named.alias("group"), "size", "node", "value", label.alias("label"))
-
-    hubs = members.groupBy("group", "band").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node")).alias(f"hub{i}") for i in range(HUBS)])
-    hubs = hubs.select("group", "band", F.explode(F.array_distinct(F.array(*[F.col(f"hub{i}.node") for i in range(HUBS)]))).alias("node"))
-    met = hubs.join(members.select("node", "size", "value"), "node").withColumn("band", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
-    met = met.join(bands, ["group", "band"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    block = ["group", "band", "part"]
-    stars = written(_linked_stars(in_block(placed, block).unionByName(in_block(met, block)), p), "jaccard-large")
-    labels = written(components(stars), "jaccard-labels")
-    labelled = placed.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    most = labelled.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
-    rest = labelled.join(most, "group").where(F.col("root") != F.col("largest")).drop("largest", "parts", "part")
-    rest_bands = written(rest.groupBy("group", "band").agg(parts.alias("rest_parts")), "jaccard-rest")
-    if rest_bands.isEmpty():
-        return stars
-    rest = rest.join(rest_bands, ["group", "band"]).withColumn("rest_part", F.pmod(F.xxhash64("node"), F.col("rest_parts")))
-    blocks = bands.select("group", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    pairs = rest_bands.select("group", F.col("band").alias("rest_band"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest_parts") - 1)).alias("rest_part"))
-    pairs = pairs.withColumn("band", F.explode(F.sequence(F.col("rest_band") - 1, F.col("rest_band") + 1))).join(blocks, ["group", "band"])
-    key = ["group", "rest_band", "rest_part", "band", "part"]
-    left = rest.withColumnRenamed("band", "rest_band").join(pairs, ["group", "rest_band", "rest_part"])
-    right = labelled.join(pairs, block)
-    return stars.unionByName(_linked_stars(in_block(left, key, "root").unionByName(in_block(right, key, "root")), p))
+
+    def left_of(placed: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members outside of their group's largest component; labels are components."""
+        labels = written(components(stars), "jaccard-labels")
+        everyone = placed.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        sizes = everyone.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.groupBy("group").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
+        return everyone.join(most, "group").where(F.col("label") != F.col("largest")).drop("largest"), everyone
+
+    return compared(sets, p.num / p.den, SMALL_TILE, MOST_ELEMENTS, lambda rows: _linked_stars(rows, p), left_of, HUBS)
 
 
 def _roots(classes: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
