@@ -53,18 +53,36 @@ def with_embedding(df: DataFrame, text: Column, embed: Callable[[pd.Series], lis
     return df.withColumn(name, vectors(text))
 
 
-def cosine_topk(vectors: DataFrame, query: DataFrame, k: int, key: str, embedding: str = "embedding", filters: dict[str, Any] | None = None, exclude: bool = True) -> DataFrame:
-    """The ``k`` rows nearest to the one row of ``query`` (key, embedding), ties by key; the query's own key left out.
-
-    The query is one row, which is broadcast; each task keeps its best ``k``.
-    """
+def cosine_scores(
+    vectors: DataFrame,
+    query: DataFrame,
+    key: str,
+    embedding: str = "embedding",
+    filters: dict[str, Any] | None = None,
+    exclude: bool = True,
+) -> DataFrame:
+    """Every row with its ``score`` against the one row of ``query`` (key, embedding), which is broadcast; the query's
+    own key is left out."""
     q = query.limit(1).select(F.col(key).alias("__key"), F.col(embedding).alias("__vector"))
     met = match(vectors, filters or {}).crossJoin(F.broadcast(q))
     if exclude:
         met = met.where(~F.col(key).eqNullSafe(F.col("__key")))
     lengths = norm(F.col(embedding)) * norm(F.col("__vector"))
-    scored = met.withColumn("score", F.when(lengths > 0, dot(F.col(embedding), F.col("__vector")) / lengths).otherwise(0.0))
-    return scored.drop("__key", "__vector").orderBy(F.desc("score"), key).limit(k)
+    score = F.when(lengths > 0, dot(F.col(embedding), F.col("__vector")) / lengths).otherwise(0.0)
+    return met.withColumn("score", score).drop("__key", "__vector")
+
+
+def cosine_topk(
+    vectors: DataFrame,
+    query: DataFrame,
+    k: int,
+    key: str,
+    embedding: str = "embedding",
+    filters: dict[str, Any] | None = None,
+    exclude: bool = True,
+) -> DataFrame:
+    """The ``k`` rows nearest to the query, ties by key; each task keeps its best ``k``."""
+    return cosine_scores(vectors, query, key, embedding, filters, exclude).orderBy(F.desc("score"), key).limit(k)
 
 
 def query_vector(vectors: DataFrame, key: str, value: Any = None, text: str | None = None, vector: list[float] | None = None, embedding: str = "embedding", embed: Callable | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.types import ByteType, DataType, IntegerType, LongType, ShortTy
 
 from ..sources import package, store
 from ..sources.package import Dataset, Package
-from .predicates import Predicate, from_sql, impossible, key_literals
+from .predicates import Opaque, Predicate, from_sql, impossible, key_literals, of_expression
 
 WHOLE: tuple[type[DataType], ...] = (ByteType, ShortType, IntegerType, LongType)
 
@@ -84,28 +84,40 @@ class Catalog:
 
     def surviving(self, label: str, where: Predicate) -> list[tuple[Package, Dataset]]:
         """Entries that may have a row that fits."""
-        left = [(p, d) for p, d in self.entries(label) if not impossible(list(d.verified), where)]
-        wanted, by_key = [], {}
-        for p, d in left:
-            keys = key_literals(where, p.index.column) if p.index and any(c["name"].lower() == p.index.column.lower() for c in d.columns) else None
-            if keys is None:
-                wanted.append(p.path)
-            else:
-                by_key[p.path] = (p, keys)
+        entries = self.entries(label)
+        kept = self._may_have([(p, d, where) for p, d in entries])
+        return [e for e, keep in zip(entries, kept, strict=True) if keep]
+
+    def _may_have(self, asked: list[tuple[Package, Dataset, Predicate]]) -> list[bool]:
+        """Whether each dataset may have a row that fits its condition, by verified selectors and key indexes."""
+        kept, lookups = [], []
+        for i, (p, d, where) in enumerate(asked):
+            fields = StructType.fromJson(json.loads(d.schema))
+            kinds = {f.name.lower(): f.dataType.simpleString() for f in fields}
+            kept.append(not impossible(list(d.verified), where, kinds))
+            if kept[-1] and p.index and p.index.column.lower() in kinds:
+                keys = key_literals(where, p.index.column)
+                if keys is not None:
+                    lookups.append((i, p, keys))
         # All lookups are one job: a few keys against sorted files with bloom filters.
-        asked = []
-        for path, (p, keys) in by_key.items():
+        jobs = []
+        for i, p, keys in lookups:
             index = self.spark.read.parquet(f"{p.path}/{p.index.path}")
             kind = index.schema["key"].dataType.simpleString()
-            text = self.spark.createDataFrame([(str(k),) for k in keys], "k string").select(F.col("k").try_cast(kind).alias("k"))
-            values = [r[0] for r in text.collect()]
+            if any(isinstance(k, str) != (kind == "string") and kind in ("string", "boolean") for k in keys):
+                continue  # Spark casts the column then, not the literal
+            if kind.startswith("decimal") and any(isinstance(k, float) for k in keys):
+                continue
+            text = self.spark.createDataFrame([(str(k),) for k in keys], "k string")
+            values = [r[0] for r in text.select(F.col("k").try_cast(kind).alias("k")).collect()]
             if any(v is None for v in values):  # a literal that isn't of the key's type: no proof
-                wanted.append(path)
-            elif values:
-                asked.append(index.where(F.col("key").isin(values)).limit(1).select(F.lit(path).alias("path")))
-        if asked:
-            wanted += [r[0] for r in reduce(DataFrame.unionAll, asked).collect()]
-        return [(p, d) for p, d in left if p.path in wanted]
+                continue
+            kept[i] = False
+            if values:
+                jobs.append(index.where(F.col("key").isin(values)).limit(1).select(F.lit(i).alias("i")))
+        for r in reduce(DataFrame.unionAll, jobs).collect() if jobs else []:
+            kept[r[0]] = True
+        return kept
 
     def scan(self, label: str, where: Predicate | str | None = None, columns: list[str] | None = None) -> DataFrame:
         """The rows of a table that fit, from the packages that may have some."""
@@ -124,20 +136,69 @@ class Catalog:
             parts.append(df.select(*[(F.col(f"`{there[f.name.lower()]}`") if f.name.lower() in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]))
         return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], schema)
 
-    def register(self) -> list[str]:
+    def register(self, without: set[tuple[str, str]] = frozenset()) -> list[str]:
         """Temporary views of all tables, each row with the package that it is from in ``_package``.
 
-        The package is a constant of each branch, so a condition on it drops branches in Catalyst.
+        The package is a constant of each branch, so a condition on it drops branches in Catalyst. ``without``: (package,
+        dataset) paths that are left out.
         """
         for name, label in self._labels().items():
             schema = self.schema(label)
-            parts = [self._joined([(p, d)], schema).withColumn("_package", F.lit(p.path)) for p, d in self.entries(label)]
-            reduce(DataFrame.unionAll, parts).createOrReplaceTempView(name)
+            found = [e for e in self.entries(label) if (e[0].path, e[1].path) not in without]
+            parts = [self._joined([e], schema).withColumn("_package", F.lit(e[0].path)) for e in found]
+            none = self._joined([], schema).withColumn("_package", F.lit(""))
+            reduce(DataFrame.unionAll, parts or [none]).createOrReplaceTempView(name)
         return self.tables()
 
     def sql(self, query: str) -> DataFrame:
+        """A query over all tables, without the datasets that can have no row for it.
+
+        Catalyst moves the query's conditions down to each dataset's scan; there they are held against its verified
+        selectors and its package's key index, as in ``scan``. A dataset that is read more than once goes only if every
+        one of its scans can have no row.
+        """
         self.register()
-        return self.spark.sql(query)
+        df = self.spark.sql(query)
+        datasets = {d.path: (p, d) for p in self.packages for d in p.datasets if d.format == "parquet"}
+        asked = [(*datasets[path], where) for path, where in _scans(df) if path in datasets]
+        kept = {(p.path, d.path) for (p, d, _), keep in zip(asked, self._may_have(asked), strict=True) if keep}
+        gone = {(p.path, d.path) for p, d, _ in asked} - kept
+        if not gone:
+            return df
+        try:
+            self.register(gone)
+            return self.spark.sql(query)
+        finally:
+            self.register()
 
     def preview(self, label: str, rows: int = 500) -> DataFrame:
         return self.scan(label).limit(rows)
+
+
+def _scans(df: DataFrame) -> list[tuple[str, Predicate]]:
+    """Each scan of a package's dataset in the optimized plan: the dataset's path in its package, and the condition that
+    stands right above it."""
+    found: list[tuple[str, Predicate]] = []
+
+    def walk(node, where: Predicate) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind == "LogicalRelation":
+            relation = node.relation()
+            if relation.getClass().getSimpleName() == "HadoopFsRelation":
+                paths = relation.location().rootPaths()
+                if paths.size() == 1:
+                    found.append(("/".join(paths.apply(0).toString().split("/")[-2:]), where))
+            return
+        if kind == "Filter":
+            where = where & of_expression(node.condition())
+        else:
+            where = Opaque("true")
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i), where)
+        subqueries = node.subqueries()
+        for i in range(subqueries.size()):
+            walk(subqueries.apply(i), Opaque("true"))
+
+    walk(df._jdf.queryExecution().optimizedPlan(), Opaque("true"))
+    return found

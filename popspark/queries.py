@@ -469,6 +469,12 @@ def pruned_scan_selectors(spark, d):
     return Catalog(spark, _packages(spark, d, None)).scan("Orders", "o_orderstatus = 'P' AND o_totalprice > 200000", ["o_orderkey", "o_totalprice"])
 
 
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND o_custkey IN (7, 70, 700)")
+def pruned_sql(spark, d):
+    t(spark, d, "customer").createOrReplaceTempView("pruned_sql_customer")
+    return Catalog(spark, _packages(spark, d)).sql("SELECT o_orderkey, c_name FROM orders JOIN pruned_sql_customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' AND o_custkey IN (7, 70, 700)")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (7, 70, 700)")
 def pruned_scan_keys(spark, d):
     return Catalog(spark, _packages(spark, d)).scan("Orders", "o_custkey IN (7, 70, 700)", ["o_orderkey", "o_custkey"])
@@ -506,6 +512,12 @@ COSINE = "round(list_dot_product(e.embedding::DOUBLE[], q.v::DOUBLE[]) / sqrt(li
 NEAR = f"(SELECT e.vec_id, e.label, {COSINE} AS score FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 7) q WHERE e.vec_id <> 7)"
 
 
+def _all_hits(spark, d):
+    vectors = t(spark, d, "embeddings")
+    found = similarity.cosine_scores(vectors, similarity.query_vector(vectors, "vec_id", 7), "vec_id")
+    return found.select("vec_id", "label", F.round("score", 4).alias("score"))
+
+
 def _hits(spark, d, k, where=None):
     vectors = t(spark, d, "embeddings")
     found = similarity.cosine_topk(vectors, similarity.query_vector(vectors, "vec_id", 7), k, "vec_id", filters=where)
@@ -524,12 +536,12 @@ def cosine_topk_filtered(spark, d):
 
 @query(f"SELECT label, max(score) AS score FROM {NEAR} GROUP BY label")
 def best_score_per_key(spark, d):
-    return similarity.best_per_key(_hits(spark, d, 10**6), "label")
+    return similarity.best_per_key(_all_hits(spark, d), "label")
 
 
 @query(f"SELECT l.label, l.score, c.vec_id FROM (SELECT label, max(score) AS score FROM {NEAR} GROUP BY label) l LEFT JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) c USING (label) ORDER BY score DESC, label LIMIT 5")
 def hits_lookup_join(spark, d):
-    return similarity.hits_with_rows(_hits(spark, d, 10**6).drop("vec_id"), t(spark, d, "embeddings").select("label", "vec_id"), "label", [F.col("vec_id")], 5)
+    return similarity.hits_with_rows(_all_hits(spark, d).drop("vec_id"), t(spark, d, "embeddings").select("label", "vec_id"), "label", [F.col("vec_id")], 5)
 
 
 @query("SELECT c_custkey, 'Name: ' || c_name || '. Segment: ' || c_mktsegment AS text, CASE WHEN length('Name: ' || c_name || '. Segment: ' || c_mktsegment) > 30 THEN substr('Name: ' || c_name || '. Segment: ' || c_mktsegment, 1, 30) || '...' ELSE 'Name: ' || c_name || '. Segment: ' || c_mktsegment END AS preview FROM customer")

@@ -60,12 +60,19 @@ def size(spark: SparkSession, path: str) -> int:
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; in a temporary one only where none is set."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that is an error, as executors could not
+    see each other's files.
+    """
     import tempfile
     import uuid
 
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="popspark-")
         spark.sparkContext.setCheckpointDir(named)
     return f"{named.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

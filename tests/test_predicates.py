@@ -108,3 +108,54 @@ def test_selectors_join_by_logic_and_exclusions_apart():
     a, b, c = Selector("a", "x", "eq", 1), Selector("b", "y", "gt", 2), Selector("c", "z", "eq", 3, is_exclusion=True)
     assert of_selectors([a, b, c], "OR") == And(Or(Cmp("x", "=", 1), Cmp("y", ">", 2)), Not(Cmp("z", "=", 3)))
     assert of_selectors([]) == Opaque("true")
+
+
+COLUMNS = {
+    "date": (["2024-01-01", "2024-01-15", "2024-01-31", "2024-02-01"], ["2024-01-15", "2024-1-15", "2024-01-31 00:00:00", "2024-01-31", "2023-12-31"]),
+    "timestamp_ntz": (["2024-01-01 00:00:00", "2024-01-15 12:00:00", "2024-01-31 00:00:00"], ["2024-01-15", "2024-01-31 00:00:00", "2024-1-31", "2024-01-15 12:00:00"]),
+    "timestamp": (["2024-01-01 00:00:00", "2024-01-31 00:00:00"], ["2024-01-31", "2024-01-01 00:00:00"]),
+    "int": (["5", "10", "20", "100"], ["5", "20", "010", " 10", "100", 5, 20, 9.5]),
+    "decimal(12,2)": (["0.10", "5.00", "20.50"], [0.1, 5, 20, 20.5, "5"]),
+    "double": (["0.1", "5", "20.5"], [0.1, 5, 20, 20.5]),
+    "string": (["10", "5", "B", "b"], ["10", "5", "B", "a", "010"]),
+}
+
+
+@pytest.mark.parametrize("kind", COLUMNS)
+def test_no_proof_is_wrong_for_typed_columns(spark, kind):
+    """Against Spark's own comparison of columns of that type with literals of several forms."""
+    values, literals = COLUMNS[kind]
+    rng = random.Random(len(kind))
+    df = spark.createDataFrame([(v,) for v in values], "t string").selectExpr(f"cast(t AS {kind}) AS c").cache()
+    proofs, checked = 0, []
+    for _ in range(150):
+        op = rng.choice(["eq", "in", "gt", "gte", "lt", "lte", "between"])
+        picked = [rng.choice(literals) for _ in range(2)] if op in ("in", "between") else rng.choice(literals)
+        s, p = Selector("s", "c", op, picked), Cmp("c", rng.choice(["=", "!=", ">", ">=", "<", "<="]), rng.choice(literals))
+        if impossible([s], p, {"c": kind}):
+            proofs += 1
+            checked.append((s, p))
+    for s, p in checked:
+        fitting = df.where(of_selectors([s]).column())
+        assert fitting.where(p.column()).isEmpty(), (s, p)
+    assert (proofs > 3) == (kind != "timestamp")
+    df.unpersist()
+
+
+def test_scans_and_sql_keep_rows_that_other_forms_of_a_literal_match(spark, tmp_path):
+    from popspark.model import Definition
+    from popspark.plans.catalog import Catalog
+    from popspark.sources import package
+
+    days = spark.createDataFrame([("2024-01-15",), ("2024-01-31",)], "t string").selectExpr("cast(t AS date) AS d", "t AS k")
+    january = Selector("s", "d", "between", ["2024-01-01", "2024-01-31"])
+    package.write_package(spark, str(tmp_path / "c/a"), Definition("a", selectors=(january,)), {"Days": days}, index="k")
+    later = spark.createDataFrame([("2024-03-01",)], "t string").selectExpr("cast(t AS date) AS d", "t AS k")
+    package.write_package(spark, str(tmp_path / "c/b"), Definition("b", selectors=(Selector("s", "d", "gte", "2024-02-01"),)), {"Days": later}, index="k")
+    c = Catalog(spark, str(tmp_path / "c"))
+    for where, n, scans in (("d = '2024-1-15'", 1, 2), ("d = '2024-01-31 00:00:00'", 1, 2), ("d = '2024-01-31'", 1, 1), ("d > '2024-02-15'", 1, 1), ("k = '2024-03-01'", 1, 1), ("d = '2025-01-01'", 0, 1)):
+        assert c.scan("Days", where).count() == n and c.sql(f"SELECT * FROM days WHERE {where}").count() == n
+        plan = c.sql(f"SELECT d FROM days WHERE {where}")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") <= scans
+    both = "SELECT a.d FROM days a JOIN days b ON a.d < b.d WHERE a.d = '2024-01-15' AND b.d = '2024-03-01'"
+    assert c.sql(both).count() == 1 and c.sql("SELECT count(*) AS n FROM days").first().n == 3
