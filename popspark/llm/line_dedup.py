@@ -41,6 +41,8 @@ BROADCAST_ROWS = 200_000
 MOST_MEMBERS, MOST_ELEMENTS, POSTINGS = 4096, 1 << 22, 1 << 18
 #: Pairs of postings that are tested at once.
 PAIRS = 1 << 20
+#: Sets of more words than ``LONG`` have ``WIDE`` hashed bits, too.
+LONG, WIDE = 128, 512
 #: Bits of a size and of a place in a posting; what doesn't fit stands at the greatest value and passes the filters.
 SIZE_BITS, PLACE_BITS = 20, 12
 #: A line's name: null id, id, line number, row hash; names are in the order of lines.
@@ -101,12 +103,11 @@ def _node_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(m, first[:-1]), np.bitwise_xor.reduceat(mix(m), first[:-1])], axis=1).astype(">u8")
 
 
-def _bitmaps(x: Lines) -> np.ndarray:
-    """128 hashed bits of each set, as two longs."""
-    bits = np.zeros((len(x.first) - 1, 128), np.uint8)
-    of = np.repeat(np.arange(len(bits)), np.diff(x.first))
-    bits[of, (x.words & np.uint64(127)).astype(np.int64)] = 1
-    return np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
+def _bitmaps(hashes: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """``n`` hashed bits of each set of ``size`` elements, as longs."""
+    bits = np.zeros((len(size), n), np.uint8)
+    bits[np.repeat(np.arange(len(bits)), size), (hashes & np.uint64(n - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64).reshape(-1, n // 64)
 
 
 def _binary(rows: np.ndarray, width: int) -> pa.Array:
@@ -139,7 +140,7 @@ def _named(name: str) -> dict[str, Column]:
     return {"doc_id": F.when(~no_id, signed(2)), "line": part(10, 4).cast("int"), "row": signed(14)}
 
 
-LINES = "node binary, name binary, size int, w0 long, w1 long, prefix array<int>"
+LINES = "node binary, name binary, size int, w0 long, w1 long, wide binary, prefix array<int>"
 
 
 def _emitted(p: Params, counts) -> Callable:
@@ -150,7 +151,13 @@ def _emitted(p: Params, counts) -> Callable:
         for batch in batches:
             x = _lines(batch.column(2), grade)
             size = np.diff(x.first)
-            node, bits = _node_keys(x.words, x.first), _bitmaps(x)
+            node, bits = _node_keys(x.words, x.first), _bitmaps(x.words, size, 128)
+            long = size > LONG
+            wide = _bitmaps(x.words[np.repeat(long, size)], size[long], WIDE)
+            ends = np.concatenate([[0], np.cumsum(long[size >= p.least_words]) * (WIDE // 8)]).astype(np.int32)
+            has = np.packbits(long[size >= p.least_words], bitorder="little").tobytes()
+            buffers = [pa.py_buffer(has), pa.py_buffer(ends.tobytes()), pa.py_buffer(wide[(size >= p.least_words)[long]].tobytes())]
+            wide_bits = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, buffers)
             keep = np.flatnonzero(size >= p.least_words)
             n, begin = size[keep], x.first[:-1][keep]
             # Where a set with one word more is not like enough, only equal sets are, and those are one class.
@@ -166,14 +173,15 @@ def _emitted(p: Params, counts) -> Callable:
                 pa.array(n.astype(np.int32)),
                 pa.array(bits[keep, 0]),
                 pa.array(bits[keep, 1]),
+                wide_bits,
                 pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(posted)),
             ]
-            yield pa.RecordBatch.from_arrays(made, names=["node", "name", "size", "w0", "w1", "prefix"])
+            yield pa.RecordBatch.from_arrays(made, names=["node", "name", "size", "w0", "w1", "wide", "prefix"])
 
     return run
 
 
-CLASSES = "class long, name binary, source binary, size int, w0 long, w1 long, prefix array<int>"
+CLASSES = "class long, name binary, source binary, size int, w0 long, w1 long, wide binary, prefix array<int>"
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +213,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blank(pa.array(numbers, pa.int64())),
             rows.column(1),
             pc.if_else(unset, _binary(np.ascontiguousarray(sources[kept]), NAME.itemsize), pa.scalar(None, pa.binary())),
-            blank(rows.column(2)),
-            blank(rows.column(3)),
-            blank(rows.column(4)),
-            blank(rows.column(5)),
+            *[blank(rows.column(i)) for i in range(2, 7)],
         ]
         yield pa.RecordBatch.from_arrays(made, names=[x.split(" ")[0] for x in CLASSES.split(", ")])
 
@@ -229,7 +234,7 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def candidates(key: np.ndarray, klass: np.ndarray, bits: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+def candidates(key: np.ndarray, klass: np.ndarray, bits: np.ndarray, wide: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Stars of classes that pass the filters, from postings sorted by word and size."""
     top = (1 << SIZE_BITS) - 1
     word, size, at = key >> 32, (key >> PLACE_BITS) & top, key & ((1 << PLACE_BITS) - 1)
@@ -250,47 +255,64 @@ def candidates(key: np.ndarray, klass: np.ndarray, bits: np.ndarray, p: Params)
         most = np.minimum(at[early], at[late]) + 1 + np.minimum(a - at[early], b - at[late]) - 1
         lone = np.bitwise_count(bits[early] ^ bits[late]).sum(axis=1, dtype=np.int64)
         open_ = (((most >= need) & (lone <= a + b - 2 * need)) | (b == top)) & (klass[early] != klass[late])
+        both = np.flatnonzero(open_ & (a > LONG) & (b < top))
+        lone = np.bitwise_count(wide[early[both]] ^ wide[late[both]]).sum(axis=1, dtype=np.int64)
+        open_[both] = lone <= (a + b - 2 * need)[both]
         if open_.any():
             found.append(_stars(klass[early[open_]], klass[late[open_]]))
         start = stop
     return _stars(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def _joined(p: Params, most: int) -> Callable:
-    """Postings (key, class, w0, w1) sorted by key -> stars of candidates. At most about ``most`` are held; a longer
-    list is joined as a whole."""
+def _postings(batch: pa.RecordBatch) -> np.ndarray:
+    """A row of longs for each posting: key, class, two of bits, and the wide bits, 0 where there are none."""
+    out = np.zeros((batch.num_rows, 4 + WIDE // 64), np.int64)
+    for i in range(4):
+        out[:, i] = batch.column(i).to_numpy()
+    there = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+    if there.any():
+        out[there, 4:] = np.ascontiguousarray(_fixed(batch.column(4).drop_null(), WIDE // 8)).view(np.int64)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, center = np.zeros((0, 4), np.int64), None
 
-        def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _joined(p: Params, most: int) -> Callable:
+    """Postings (key, class, w0, w1, wide) sorted by key -> stars of candidates. At most about ``most`` are held; a
+    longer list is joined as a whole."""
+
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        def tested(rows: np.ndarray) -> pa.RecordBatch:
-            return out(*candidates(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), p))
+    def tested(rows: np.ndarray) -> pa.RecordBatch:
+        bits, wide = (np.ascontiguousarray(x).view(np.uint64) for x in (rows[:, 2:4], rows[:, 4:]))
+        return out(*candidates(rows[:, 0], rows[:, 1], bits, wide, p))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n, center = [], 0, None
         for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-            held = np.concatenate([held, rows]) if len(held) else rows
-            if center is not None and len(held):
-                same = held[:, 0] >> 32 == center[0]
-                k = len(held) if same.all() else int(same.argmin())
-                yield out(np.full(k, center[1]), held[:k, 1])
-                held = held[k:]
-                center = center if not len(held) else None
-            if len(held) < most:
+            rows = _postings(batch)
+            if center is not None:
+                same = rows[:, 0] >> 32 == center[0]
+                k = len(rows) if same.all() else int(same.argmin())
+                yield out(np.full(k, center[1]), rows[:k, 1])
+                rows = rows[k:]
+                center = center if not len(rows) else None
+            parts.append(rows)
+            n += len(rows)
+            if n < most:
                 continue
-            word = held[:, 0] >> 32
-            cut = len(word) - int((word == word[-1]).sum())
+            held = np.concatenate(parts)
+            last = held[:, 0] >> 32 == held[-1, 0] >> 32
+            cut = int(last.argmax())
             if cut:
                 yield tested(held[:cut])
-            held = held[cut:]
+            held = held[cut:].copy()
             if len(held) >= most:
-                center = (word[-1], held[0, 1])
+                center = (held[0, 0] >> 32, held[0, 1])
                 yield out(np.full(len(held) - 1, center[1]), held[1:, 1])
                 held = held[:0]
-        if len(held):
-            yield tested(held)
+            parts, n = [held], len(held)
+        if n:
+            yield tested(np.concatenate(parts))
 
     return run
 
@@ -375,8 +397,8 @@ def _matches(classes: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
     size = F.least("size", F.lit((1 << SIZE_BITS) - 1)).cast("long")
     place = F.least("at", F.lit((1 << PLACE_BITS) - 1)).cast("long")
     key = F.shiftleft(F.col("word").cast("long"), 32).bitwiseOR(F.shiftleft(size, PLACE_BITS)).bitwiseOR(place)
-    posted = classes.where("source IS NULL").select("class", "size", "w0", "w1", F.posexplode("prefix").alias("at", "word"))
-    posted = posted.select(key.alias("key"), "class", "w0", "w1").repartition(n, F.shiftright("key", 32))
+    posted = classes.where("source IS NULL").select("class", "size", "w0", "w1", "wide", F.posexplode("prefix").alias("at", "word"))
+    posted = posted.select(key.alias("key"), "class", "w0", "w1", "wide").repartition(n, F.shiftright("key", 32))
     groups = components(posted.sortWithinPartitions("key", "class").mapInArrow(_joined(p, POSTINGS), "a long, b long"))
     named = F.unhex(F.lpad(F.hex("root"), 16, "0")).alias("group")
     wanted = classes.where("source IS NULL").select("class", "name", "size").join(groups, F.col("class") == F.col("node"))
