@@ -12,11 +12,13 @@ Ends take about 2 + log2(u / n) bits each. ``EliasFano.select`` goes from a samp
 table of offsets. A task writes blocks as it goes and keeps one in memory; a task that runs again writes the same
 blocks, and Spark's commit keeps one copy. Ids before a block follow from the totals of the parts before it.
 
-A text is encoded in chunks that the pre-tokenizer keeps apart for certain (runs of blanks and line feeds with the
-characters up to the next one), each remembered; texts with other white space or special tokens go through whole.
+A text is encoded in chunks that the pre-tokenizer keeps apart for certain: runs of blanks and line feeds with the
+characters up to the next one, or with the letters up to a mark. Chunks that came twice are remembered, up to a number of
+bytes; texts with other white space or special tokens go through whole.
 
 Defined cases: a null or empty text gives the end id alone; null document ids come first; rows of one id are ordered by
-their text's hash and repeat as given; an empty table gives no blocks.
+their text's hash and repeat as given; a very long text is one document, over a block's size if need be; an empty table
+gives no blocks; extra columns of any name don't matter, as only id and text are read.
 """
 
 from __future__ import annotations
@@ -37,11 +39,15 @@ from pyspark.sql import functions as F
 from .common import new_path, table
 
 MAGIC, SAMPLE_EVERY = b"PSTB", 256
-#: Ids after which a block ends, and texts that are remembered.
-BLOCK_IDS, REMEMBERED = 1 << 19, 300_000
+#: Ids after which a block ends.
+BLOCK_IDS = 1 << 19
+#: Characters and bytes of chunks that a worker remembers, and marks of chunks that it has seen once.
+REMEMBERED, SEEN = 20 << 20, 1 << 23
 #: White space other than blank and line feed.
 OTHER_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Letters (of Latin-1) and ASCII marks that the pre-tokenizer parts; an apostrophe may go with letters.
+LETTERS, MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", "!-&(-/:-@\\[-`{-~"
+CHUNK = re.compile(f"[ \n]*+(?:[{LETTERS}]++(?=[{MARKS}])|[^ \n]+)|[ \n]+")
 BLOCKS = "part int, block int, before long, docs int, ids long, payload binary"
 
 
@@ -96,6 +102,7 @@ class EliasFano:
         return (one - i) << self.low_bits | self._low(i)
 
     def all(self) -> np.ndarray:
+        """All values, as ``select`` gives them one by one."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         value = (ones - np.arange(self.n)) << self.low_bits
         if self.low_bits and self.n:
@@ -112,46 +119,70 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special) or r"(?!)")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(names.values()) + 1, np.int64)
         self.bytes_of[list(names.values())] = [len(n) for n in names]  # a byte-level name has a character for each byte
         self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # what was known before it grew too large
+        self.held = 0  # characters and bytes in it
+        self.seen, self.times = bytearray(SEEN), 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(OTHER_SPACE.search(t) or self.special.search(t)) for t in texts]
-        apart = iter(self._plain([t for t, w in zip(texts, whole, strict=True) if w]))
-        chunks = [[] if w else CHUNK.findall(t) for t, w in zip(texts, whole, strict=True)]
-        got = [list(map(self.known.get, some)) for some in chunks]
-        missing = {c for some, there in zip(chunks, got, strict=True) if None in there for c, g in zip(some, there, strict=True) if g is None}
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.before, self.known = self.known, {}
-        again = {c: b for c in missing if (b := self.before.get(c)) is not None}
-        self._learn([c for c in missing if c not in again])
-        self.known.update(again)
-        new = self.known
-        filled = [[new[c] if g is None else g for c, g in zip(some, there, strict=True)] if None in there else there for some, there in zip(chunks, got, strict=True)]
-        return [next(apart) if w else b"".join(some) for some, w in zip(filled, whole, strict=True)]
-
-    def _learn(self, chunks: list[str]) -> None:
+        out: list[list[bytes] | None] = []
+        whole: list[str] = []
+        holes: list[tuple[list, int, str]] = []
+        get, special = self.known.get, self.special
+        for text in texts:
+            if OTHER_SPACE.search(text) or any(x in text for x in special):
+                whole.append(text)
+                out.append(None)
+                continue
+            chunks = CHUNK.findall(text)
+            ids = list(map(get, chunks))
+            if None in ids:
+                holes += [(ids, i, chunks[i]) for i, x in enumerate(ids) if x is None]
+            out.append(ids)
+        learned = self._learned(list({c for _, _, c in holes}))
+        for ids, i, c in holes:
+            ids[i] = learned[c]
+        self._remember(learned)
+        plain = iter(self._plain(whole))
+        return [next(plain) if ids is None else b"".join(ids) for ids in out]
+
+    def _remember(self, learned: dict[str, bytes]) -> None:
+        """Keeps what comes for the second time: most chunks that are new never come again."""
+        seen, known = self.seen, self.known
+        for c, ids in learned.items():
+            at = hash(c) & (SEEN - 1)
+            if seen[at]:
+                known[c] = ids
+                self.held += len(c) + len(ids)
+            else:
+                seen[at] = 1
+                self.times += 1
+        if self.held > REMEMBERED:
+            known.clear()
+            self.held = 0
+        if self.times > SEEN // 2:
+            self.seen, self.times = bytearray(SEEN), 0
+
+    def _learned(self, chunks: list[str]) -> dict[str, bytes]:
         """Chunks that begin with white space are encoded as one text, which keeps them apart, and cut by their bytes."""
         joined = [c for c in chunks if c[0] in " \n" and c[-1] not in " \n"]
         rest = [c for c in chunks if not (c[0] in " \n" and c[-1] not in " \n")]
-        self.known.update(zip(rest, self._plain(rest), strict=True))
+        out = dict(zip(rest, self._plain(rest), strict=True))
         if not joined:
-            return
+            return out
         ids = np.array(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, "<u4")
         ends, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode()) for c in joined])
         cuts = np.searchsorted(ends, wanted) + 1
         if cuts[-1] != len(ids) or (ends[cuts - 1] != wanted).any():
-            self.known.update(zip(joined, self._plain(joined), strict=True))
-            return
+            return out | dict(zip(joined, self._plain(joined), strict=True))
         data, at = ids.tobytes(), 0
         for c, to in zip(joined, (4 * cuts).tolist(), strict=True):
-            self.known[c] = data[at:to]
+            out[c] = data[at:to]
             at = to
+        return out
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -246,8 +277,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, before, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             doc_ids, ef, ids = parsed(payload.as_py())
-            ends = ef.all()
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+            ends = np.array([ef.select(i) for i in range(ef.n)], np.int64)
+            starts = np.concatenate([[0], ends[:-1]])
             crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             values = [pa.array(doc_ids, pa.int64()), pa.array([part] * len(ends), pa.int32()), pa.array(starts + before, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())]
             yield pa.RecordBatch.from_arrays(values, names=["doc_id", "part", "start", "n_tokens", "ids_crc32"])

@@ -71,3 +71,12 @@ def test_block_round_trip():
     assert doc_ids == [3, None] and ef.all().tolist() == [3, 5] and back.tolist() == ids.tolist()
     with pytest.raises(ValueError):
         T.parsed(b"none" + bytes(30))
+
+
+def test_marks_part_words_as_in_the_library():
+    rng, e = random.Random(3), T.Encoder(PATH)
+    texts = ["".join(rng.choice("abÉß.,#*'_—€1² \n[]^`-s×µª") for _ in range(rng.randint(0, 50))) for _ in range(3000)]
+    got = []
+    for i in range(0, len(texts), 40):
+        got += e.encode(texts[i : i + 40])
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [library(t) for t in texts]
