@@ -8,18 +8,22 @@ and it lies on the bad side (more symbols, more repetition, odd words) of the ce
 
 Only DataFrame functions run; every step is an aggregation with partial sums, so a hot group stays spread out, and
 what is joined back has one row for each group. Defined cases: a null or empty text has no words and fails the base
-limits; rows of a null language or source form a group like others; groups of fewer rows than ``least_rows`` give no
-outliers; repeated rows are judged alike; extra columns pass through, clashing names are refused.
+limits; rows of a null language or source form a group like others; a group of fewer rows than ``least_rows`` is judged
+by the estimate of its language, and if that has too few rows, too, by that of all rows; very long texts are taken whole;
+repeated and tied rows are judged alike; extra columns pass through, clashing names are refused. Quantiles are those of
+Spark's sketches, so a row right at a limit may be judged differently when rows are dealt to tasks in another way.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, table, words, written
+from .common import SPACES, let, refuse, table, words, written
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 X = tuple(f"__x{i}" for i in range(5))
@@ -65,8 +69,7 @@ def _repeat_words(parts: Column) -> Column:
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with STATS, each over the whole text."""
-    if clash := {*STATS, "__words"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} exist")
+    refuse(docs, {*STATS, "__words", "__row"})
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     w = F.col("__words")
     lines = let(F.filter(F.split(whole, "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0), lambda a: F.size(a) - F.size(F.array_distinct(a)))
@@ -144,6 +147,31 @@ def fit(stats: DataFrame, p: Params | None = None, keys: tuple[str, str] = ("lan
     return ended[0].unionByName(ended[1]).groupBy(*keys).agg(best).select(*keys, "b.*")
 
 
+def fit_all(stats: DataFrame, p: Params | None = None, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
+    """A row as of ``fit`` for each group that has rows, its own estimate or that of a larger group that it is part of:
+    all rows of its language, else all rows. Without an estimate even of all rows a group has no row."""
+    p = p or Params()
+    own = written(fit(stats, p, keys), "mcd-own")
+    same = lambda a, b, some: reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in some])
+    groups = stats.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))  # one row for each group
+    small = written(groups.alias("r").join(own.alias("g"), same("r", "g", keys), "left_anti").select(*keys), "mcd-small")
+    if small.isEmpty():
+        return own
+    blank = lambda k: F.lit(None).cast(stats.schema[k].dataType).alias(k)
+    rest = [c for c in stats.columns if c not in keys]
+    found = own
+    for level in (keys[:1], ()):
+        wider = stats.select(*[F.col(k) if k in level else blank(k) for k in keys], *[F.col(f"`{c}`") for c in rest])
+        est = written(fit(wider, p, keys), "mcd-wider")
+        one = [F.col(f"r.{k}").alias(k) for k in keys] + [F.col(f"g.{c}").alias(c) for c in own.columns if c not in keys]
+        met = small.alias("r").join(est.alias("g"), same("r", "g", level) if level else F.lit(True)).select(*one)
+        found = found.unionByName(met)
+        small = written(small.alias("r").join(found.alias("g"), same("r", "g", keys), "left_anti").select("r.*"), "mcd-small")
+        if small.isEmpty():
+            break
+    return written(found, "mcd-groups")
+
+
 def judged(stats: DataFrame, groups: DataFrame, p: Params | None = None, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """``stats`` with base_failed, distance (null where a group has no estimate) and kept."""
     p = p or Params()
@@ -160,10 +188,10 @@ def kept_documents(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """The documents that pass, columns as given. Statistics are worked out twice, so no text is shuffled or stored."""
     narrow = written(with_stats(docs.select("lang", "source", "text")).drop("text"), "quality")
     # Filters don't move below a row number, so the statistics are not worked out again for them.
-    whole = judged(with_stats(docs).withColumn("__row", F.monotonically_increasing_id()), fit(narrow, p), p)
+    whole = judged(with_stats(docs).withColumn("__row", F.monotonically_increasing_id()), fit_all(narrow, p), p)
     return whole.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(with_stats(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).drop("text"), "quality")
-    return judged(stats, fit(stats)).select("doc_id", *STATS, "base_failed", "kept", "lang", "source", F.round("distance", 3).alias("distance"))
+    return judged(stats, fit_all(stats)).select("doc_id", *STATS, "base_failed", "kept", "lang", "source", F.round("distance", 3).alias("distance"))

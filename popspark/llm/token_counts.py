@@ -7,7 +7,8 @@ start to start and takes over only what is greater. A character that is no piece
 counts its UTF-8 bytes, where the vocabulary has byte pieces, or one for a run of such characters. Beside the score only the
 number of pieces is carried, so nothing is traced back.
 
-Where no piece goes on over a blank, a text falls apart at blanks (and line feeds), and each part's count is remembered.
+Where no piece goes on over a blank, a text falls apart at blanks (and line feeds), and counts of short parts are
+remembered, up to a number of characters.
 That is done only if all scores are whole numbers, whose sums are the same in any order; else a text is one part.
 
 Defined cases: a null or empty text has no tokens; texts of any length go through whole; rows repeat as given; an empty
@@ -29,8 +30,8 @@ from .common import table
 BLANK = "▁"
 #: Fixed value: how far below the least score an unknown character is.
 UNKNOWN_PENALTY = 10.0
-#: Parts that a worker remembers.
-REMEMBERED = 400_000
+#: Characters of parts that a worker remembers, and of the longest one.
+REMEMBERED, LONGEST = 8 << 20, 200
 COUNTS = "doc_id long, n_tokens long"
 
 
@@ -59,6 +60,7 @@ class Counter:
         lines = "" if any("\n" in p for p in names) else "\n"
         self.parts = re.compile(f" *[^ {lines}]+| +" + (f"|{lines}" if lines else "")) if parts else re.compile(r"(?s).+")
         self.known: dict[str, int] = {}
+        self.held = 0  # characters in it
 
     def viterbi(self, text: str) -> int:
         """Pieces of the best path over ``text``, blanks written as BLANK."""
@@ -103,12 +105,18 @@ class Counter:
         try:
             return sum(map(self.known.__getitem__, parts))
         except KeyError:
-            if len(self.known) > REMEMBERED:
+            if self.held > REMEMBERED:
                 self.known.clear()
+                self.held = 0
+            known, long = self.known, {}
             for part in set(parts):
-                if part not in self.known:
-                    self.known[part] = self.viterbi(part.replace(" ", BLANK))
-            return sum(map(self.known.__getitem__, parts))
+                if part not in known:
+                    if len(part) > LONGEST:
+                        long[part] = self.viterbi(part.replace(" ", BLANK))
+                    else:
+                        known[part] = self.viterbi(part.replace(" ", BLANK))
+                        self.held += len(part)
+            return sum(known[part] if len(part) <= LONGEST else long[part] for part in parts)
 
 
 @functools.cache

@@ -84,3 +84,12 @@ def test_odd_rows(spark, odd, empty):
     assert Q.kept_documents(empty).count() == 0
     with pytest.raises(ValueError, match="exist"):
         Q.with_stats(odd.withColumn("N_words", F.lit(1)))
+
+
+def test_small_groups_are_judged_by_larger_ones(spark):
+    rows = [(i, t, "en", f"s{i % 90}", 0) for i, t, *_ in corpus()]  # ten rows a source
+    rows += [(1000 + i, t, f"l{i}", "a", 0) for i, t, *_ in corpus(6)[49:52]]  # a language of one row each
+    stats = Q.with_stats(spark.createDataFrame(rows, SCHEMA).repartition(4)).drop("text")
+    assert Q.fit(stats).count() == 0
+    got = Q.judged(stats, Q.fit_all(stats)).collect()
+    assert {r.doc_id for r in got if not r.kept} == {*range(0, 900, 50), 1050} and all(r.distance is not None for r in got)
