@@ -4,12 +4,13 @@ The host of a url or of a rule is written with its labels reversed, each followe
 others (``com.example`` -> ``com\\0example\\0``). A rule's host is then a prefix of the keys of all its subdomains, so it
 covers an interval of keys, and intervals nest or are apart. Urls are cut into ranges of about equal size at key
 positions taken from a bounded sample; a rule goes to each range that its interval meets. Inside a range a sorted sweep
-keeps a stack of the active rule hosts, each with its rules' paths sorted. For a url every active host is looked up
+keeps a stack of the active rule hosts, each with its rules by path and the lengths of the paths. For a url every active host is looked up
 for its longest fitting path, and the longest rule wins: most characters of host and path together, then the longer
 host, then block before allow.
 
 The sample only sets where ranges begin. The cut positions go on to the page id's hash, so one hot host, or even one
-hot url, is spread over many ranges. Defined cases: null urls and urls without ``://`` have empty host and path; an
+hot url, is spread over many ranges. Defined cases: very long urls are taken whole; extra columns of any name don't
+matter, as only id and url are read; null urls and urls without ``://`` have empty host and path; an
 empty host fits no rule; rows repeat as given; without rules every verdict is the default.
 """
 
@@ -66,7 +67,7 @@ class Sweep:
     """The stack of rule hosts whose intervals hold the present key."""
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, int, list[str], dict[str, tuple[str, str]], list[int]]] = []
+        self.stack: list[tuple[str, int, dict[str, tuple[str, str]], list[int]]] = []
 
     def _leave(self, key: str) -> None:
         while self.stack and not key.startswith(self.stack[-1][0]):
@@ -75,19 +76,17 @@ class Sweep:
     def enter(self, key: str, host: str, path: str, verdict: str) -> None:
         self._leave(key)
         if not self.stack or self.stack[-1][0] != key:
-            self.stack.append((key, len(host), [], {}, []))
-        _, _, paths, rules, lengths = self.stack[-1]
-        if path not in rules:
-            bisect.insort(paths, path)
-            if len(path) not in lengths:
-                bisect.insort(lengths, len(path))
+            self.stack.append((key, len(host), {}, []))
+        _, _, rules, lengths = self.stack[-1]
+        if path not in rules and len(path) not in lengths:
+            bisect.insort(lengths, len(path))
         if path not in rules or verdict == "block":
             rules[path] = (host + path, verdict)
 
     def judge(self, key: str, path: str) -> tuple[str, str] | None:
         self._leave(key)
         best, rank = None, (-1, -1)
-        for _, n, paths, rules, lengths in self.stack:
+        for _, n, rules, lengths in self.stack:
             for m in reversed(lengths[: bisect.bisect_right(lengths, len(path))]):
                 if (head := path[:m]) in rules:
                     if (n + m, n) > rank:
