@@ -41,7 +41,8 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 STAGES = [("quality", drop_low_quality), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_benchmark_leaks), ("mixing", mix_sources), ("token_ids", write_token_ids)]
 
-#: The robust estimates, near-duplicate components, mix and tokenizer can't be said in SQL; tests hold each stage against brute force.
+#: The robust estimates, near-duplicate components, mix and tokenizer can't be said in SQL. Tests hold the
+#: groups, ids and counts that the stages give against brute force and the tokenizers library.
 ORACLE_SQL = None
 
 
