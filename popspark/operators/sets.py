@@ -64,12 +64,20 @@ def _masks(parts: list[DataFrame], key: str) -> DataFrame:
 def overlap_regions(parts: list[DataFrame], key: str) -> DataFrame:
     """mask, intersection_size, exclusive_size for each of the 2**n - 1 regions. Null counts as a key.
 
-    Keys are shuffled once; what meets the regions is at most 2**n - 1 counts.
+    Keys are shuffled once. The sums over supersets take n steps over at most 2**n counts: step i adds each region that
+    has part i to the one that lacks it.
     """
     sizes = _masks(parts, key).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
-    regions = parts[0].sparkSession.range(1, 1 << len(parts)).select(F.col("id").alias("region"))
-    met = regions.join(F.broadcast(sizes), F.col("mask").bitwiseAND(F.col("region")) == F.col("region"), "left")
-    return met.groupBy(F.col("region").alias("mask")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("intersection_size"), F.coalesce(F.sum(F.when(F.col("mask") == F.col("region"), F.col("n"))), F.lit(0)).cast("long").alias("exclusive_size"))
+    regions = parts[0].sparkSession.range(1, 1 << len(parts)).select(F.col("id").alias("mask"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("own"))
+    sums = regions.unionByName(sizes.select("mask", "n", F.col("n").alias("own")))
+    sums = sums.groupBy("mask").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    for i in range(len(parts)):
+        bit = F.lit(1 << i).cast("long")
+        itself = F.struct("mask", "own")
+        lacking = F.struct(F.col("mask").bitwiseXOR(bit).alias("mask"), F.lit(0).cast("long").alias("own"))
+        both = F.when(F.col("mask").bitwiseAND(bit) != 0, F.array(itself, lacking)).otherwise(F.array(itself))
+        sums = sums.select("n", F.inline(both)).groupBy("mask").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    return sums.where("mask > 0").select("mask", F.col("n").alias("intersection_size"), F.col("own").alias("exclusive_size"))
 
 
 def overlap_matrix(parts: list[DataFrame], key: str) -> DataFrame:

@@ -34,6 +34,14 @@ def test_selected_rows(spark):
     assert values(filters.select_rows(df, [Selector("1", "x", "between", [2, 3]), Selector("2", "y", "eq", "b", is_exclusion=True)])) == []
 
 
+def test_overlap_regions_of_four_sets(spark):
+    sets_of = [set(range(0, 40, 2)), set(range(0, 40, 3)), set(range(5, 25)), {7, 100}]
+    got = {r.mask: (r.intersection_size, r.exclusive_size) for r in sets.overlap_regions([keys(spark, *s) for s in sets_of], "k").collect()}
+    every = set().union(*sets_of)
+    mask = {k: sum(1 << i for i, s in enumerate(sets_of) if k in s) for k in every}
+    assert got == {m: (sum(x & m == m for x in mask.values()), sum(x == m for x in mask.values())) for m in range(1, 16)}
+
+
 def test_overlap_counts_null_as_a_key(spark):
     parts = [keys(spark, 1, 2, None), keys(spark, 2, 3, None), keys(spark, 2)]
     got = {r.mask: (r.intersection_size, r.exclusive_size) for r in sets.overlap_regions(parts, "k").collect()}
