@@ -79,7 +79,7 @@ class Catalog:
         return sum(d.num_rows if d.num_rows is not None else package.frame(self.spark, p, d).count() for p, d in self.entries(label))
 
     def stats(self) -> DataFrame:
-        rows = [(p.path, d.label, d.num_rows, store.size(self.spark, f"{p.path}/{d.path}") if d.format == "parquet" else None) for p in self.packages for d in p.datasets]
+        rows = [(p.path, d.label, d.num_rows, sum(store.size(self.spark, f"{p.path}/{f}") for f, _ in d.folders) if d.format == "parquet" else None) for p in self.packages for d in p.datasets]
         return self.spark.createDataFrame(rows, "package string, label string, num_rows long, num_bytes long")
 
     def surviving(self, label: str, where: Predicate) -> list[tuple[Package, Dataset]]:
@@ -185,8 +185,8 @@ def _scans(df: DataFrame) -> list[tuple[str, Predicate]]:
         if kind == "LogicalRelation":
             relation = node.relation()
             if relation.getClass().getSimpleName() == "HadoopFsRelation":
-                paths = relation.location().rootPaths()
-                if paths.size() == 1:
+                paths = relation.location().rootPaths()  # a dataset is named by its first folder
+                if paths.size():
                     found.append(("/".join(paths.apply(0).toString().split("/")[-2:]), where))
             return
         if kind == "Filter":

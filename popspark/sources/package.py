@@ -1,8 +1,10 @@
 """Packages: named datasets as Parquet folders with a manifest of definition, statistics and revisions.
 
-``<pkg>/_manifest.json`` names the current file of ``<pkg>/_rev/``; datasets are in ``<pkg>/data/<write>/<n>`` and key
-indexes in ``<pkg>/_index/<write>``. A mutation writes new folders and swaps the manifest, so what is being read is
-never written over, unchanged datasets are shared by revisions, and every revision can still be read.
+``<pkg>/_manifest.json`` names the current file of ``<pkg>/_rev/``; a dataset is a list of folders ``<pkg>/data/<write>``
+and key indexes are in ``<pkg>/_index/<write>``. A mutation writes new folders and swaps the manifest, so what is being
+read is never written over, unchanged folders are shared by revisions, and every revision can still be read. An append
+writes its own rows only; deletions and upserts write anew only the folders that have some of their keys; ``compact``
+makes one folder of a dataset's many.
 
 Each dataset's entry has its row count and schema and the selectors that all its rows were seen to fit when it was
 written. Only such selectors prune (``plans.catalog``), so unions, appends and upserts can't make pruning wrong.
@@ -19,7 +21,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import model
 from ..model import Definition, Selector
@@ -47,6 +49,11 @@ class Dataset:
     schema: str  # JSON
     verified: tuple[Selector, ...] = ()
     format: str = "parquet"  # or "table": a catalog table that is only referred to
+    added: tuple[tuple[str, int], ...] = ()  # folders after the first, and their rows
+
+    @property
+    def folders(self) -> tuple[tuple[str, int], ...]:
+        return ((self.path, (self.num_rows or 0) - sum(n for _, n in self.added)), *self.added)
 
     @property
     def columns(self) -> list[dict[str, Any]]:
@@ -83,7 +90,7 @@ class Package:
 
 def _to_json(p: Package) -> str:
     selector = lambda s: Definition("", selectors=(s,)).to_dict()["selectors"][0]
-    rows = [{"label": d.label, "path": d.path, "num_rows": d.num_rows, "schema": json.loads(d.schema), "verified": [selector(s) for s in d.verified], "format": d.format} for d in p.datasets]
+    rows = [{"label": d.label, "path": d.path, "num_rows": d.num_rows, "schema": json.loads(d.schema), "verified": [selector(s) for s in d.verified], "format": d.format, "added": d.added} for d in p.datasets]
     return json.dumps({"format": FORMAT, "definition": p.definition.to_dict(), "datasets": rows, "index": p.index.__dict__ if p.index else None}, default=str)
 
 
@@ -110,7 +117,7 @@ def open_package(spark: SparkSession, path: str, revision: int | None = None) ->
             raise PackageError(f"{path} has no revision {revision}")
         name = found[-1]
     d = json.loads(store.read_text(spark, f"{path}/_rev/{name}"))
-    rows = tuple(Dataset(x["label"], x["path"], x["num_rows"], json.dumps(x["schema"]), tuple(Selector(**s) for s in x["verified"]), x["format"]) for x in d["datasets"])
+    rows = tuple(Dataset(x["label"], x["path"], x["num_rows"], json.dumps(x["schema"]), tuple(Selector(**s) for s in x["verified"]), x["format"], tuple((a, n) for a, n in x.get("added", ()))) for x in d["datasets"])
     return Package(path, Definition.from_dict(d["definition"]), rows, KeyIndex(**d["index"]) if d["index"] else None)
 
 
@@ -121,7 +128,11 @@ def read_dataset(spark: SparkSession, p: Package, label: str) -> DataFrame:
 def frame(spark: SparkSession, p: Package, d: Dataset) -> DataFrame:
     if d.format == "table":
         return spark.table(d.path)
-    return spark.read.schema(StructType.fromJson(json.loads(d.schema))).parquet(f"{p.path}/{d.path}")
+    return _of_folders(spark, p, d, [path for path, _ in d.folders])
+
+
+def _of_folders(spark: SparkSession, p: Package, d: Dataset, folders: list[str]) -> DataFrame:
+    return spark.read.schema(StructType.fromJson(json.loads(d.schema))).parquet(*[f"{p.path}/{x}" for x in folders])
 
 
 def read_all(spark: SparkSession, p: Package) -> dict[str, DataFrame]:
@@ -216,11 +227,52 @@ def append(spark: SparkSession, path: str, rows: DataFrame, label: str | None =
             raise PackageError(f"{len(fits)} datasets have this schema; give a label")
         label = fits[0].label
     old = next((d for d in p.datasets if d.label == label), None)
-    data = mutations.append(frame(spark, p, old), rows) if old else rows
-    new = _written(_root(p, output), label, data, p.definition.selectors)
+    data = mutations.append(frame(spark, p, old), rows) if old else rows  # refuses another schema
+    if old and old.format == "parquet" and _root(p, output) == p.path:
+        new = _grown(old, old.folders, _written(p.path, label, rows.select(*data.columns), old.verified))
+    else:
+        new = _written(_root(p, output), label, data, p.definition.selectors)
     return _changed(spark, p, tuple(new if d.label == label else d for d in p.datasets) if old else (*p.datasets, new), message, author, output)
 
 
+def _grown(old: Dataset, kept: tuple[tuple[str, int], ...], new: Dataset) -> Dataset:
+    """``old`` with its folders ``kept`` and those of ``new``; verified is what both are."""
+    folders = (*kept, *(new.folders if new.num_rows or not kept else ()))
+    verified = tuple(s for s in old.verified if s in new.verified) if new.num_rows else old.verified
+    return replace(old, path=folders[0][0], num_rows=sum(n for _, n in folders), verified=verified, added=tuple(folders[1:]))
+
+
+def _met(spark: SparkSession, p: Package, d: Dataset, keys: DataFrame, on: list[str]) -> list[str]:
+    """The folders of a dataset that have a row of ``keys``. Only the key columns are read."""
+    if len(d.folders) == 1:
+        return [d.path]
+    at = F.regexp_extract(F.col("_metadata.file_path"), "(data/[^/]+)/[^/]*$", 1).alias("__folder")
+    rows = frame(spark, p, d).select(*[F.col(f"`{c}`") for c in on], at)
+    found = rows.join(keys.select(*[F.col(f"`{c}`") for c in on]).distinct(), on, "left_semi").select("__folder").distinct()
+    return [r[0] for r in found.collect()]  # one short text for each folder
+
+
+def _rewritten(spark: SparkSession, p: Package, d: Dataset, root: str, keys: DataFrame, on: list[str], change: Callable[[DataFrame], DataFrame]) -> Dataset:
+    """A dataset whose rows ``change`` alters only where they have one of ``keys``; it may also add rows."""
+    if d.format == "table" or root != p.path:
+        return _written(root, d.label, change(frame(spark, p, d)), p.definition.selectors)
+    met = _met(spark, p, d, keys, on)
+    kept = tuple(f for f in d.folders if f[0] not in met)
+    base = _of_folders(spark, p, d, met) if met else spark.createDataFrame([], frame(spark, p, d).schema)
+    new = _written(root, d.label, change(base), d.verified if kept else p.definition.selectors)
+    return _grown(d, kept, new) if kept else new
+
+
+def compact(spark: SparkSession, path: str, label: str, *, message: str = "Compact", author: str = AUTHOR) -> Package:
+    """One folder for a dataset's many; the rows are the same, and its key index stays."""
+    p = open_package(spark, path)
+    d = p.dataset(label)
+    if d.format == "table" or len(d.folders) == 1:
+        return p
+    new = _written(p.path, d.label, frame(spark, p, d), p.definition.selectors)
+    return _changed(spark, p, tuple(new if x == d else x for x in p.datasets), message, author, None, data_changed=False)
+
+
 def delete_rows(spark: SparkSession, path: str, key: str, values: list[Any], *, output: str | None = None, message: str = "Delete rows", author: str = AUTHOR) -> Package:
     """Rows of these keys deleted from every dataset; each must have the key. Emptied datasets go."""
     p, out = open_package(spark, path), []
@@ -228,8 +280,8 @@ def delete_rows(spark: SparkSession, path: str, key: str, values: list[Any], *,
         if key.lower() not in {c["name"].lower() for c in d.columns}:
             raise PackageError(f"dataset {d.label!r} has no column {key!r}")
     for d in p.datasets:
-        data = frame(spark, p, d)
-        new = _written(_root(p, output), d.label, mutations.delete_rows(data, keys_frame(data, key, values), key), p.definition.selectors)
+        keys = keys_frame(frame(spark, p, d), key, values)
+        new = _rewritten(spark, p, d, _root(p, output), keys, [key], lambda data, keys=keys: mutations.delete_rows(data, keys, key))
         out += [new] if new.num_rows else []
     return _changed(spark, p, tuple(out), message, author, output)
 
@@ -253,8 +305,10 @@ def annotate(spark: SparkSession, path: str, *, name: str | None = None, descrip
 def upsert(spark: SparkSession, path: str, label: str, key: str, rows: DataFrame, *, output: str | None = None, message: str = "Upsert", author: str = AUTHOR) -> Package:
     p = open_package(spark, path)
     old = next((d for d in p.datasets if d.label == label), None)
-    data = mutations.upsert(frame(spark, p, old), rows, key) if old else rows
-    new = _written(_root(p, output), label, data, p.definition.selectors)
+    if old:
+        new = _rewritten(spark, p, old, _root(p, output), rows, [key], lambda data: mutations.upsert(data, rows, key))
+    else:
+        new = _written(_root(p, output), label, rows, p.definition.selectors)
     return _changed(spark, p, tuple(new if d.label == label else d for d in p.datasets) if old else (*p.datasets, new), message, author, output)
 
 
@@ -265,9 +319,8 @@ def upsert_keys(spark: SparkSession, path: str, label: str, rows: DataFrame, key
     if not keys:
         raise PackageError("no keys given and no primary keys set")
     old = p.dataset(label)
-    data, counts = mutations.upsert_counted(frame(spark, p, old), rows, keys)
-    updated, inserted = counts.first()
-    new = _written(p.path, old.label, data, p.definition.selectors)
+    updated, inserted = mutations.upsert_counted(frame(spark, p, old), rows, keys)[1].first()
+    new = _rewritten(spark, p, old, p.path, rows, keys, lambda data: mutations.upsert_counted(data, rows, keys)[0])
     _changed(spark, p, tuple(new if d == old else d for d in p.datasets), kw.get("message", "Upsert"), kw.get("author", AUTHOR), None)
     return int(updated), int(inserted)
 
@@ -359,18 +412,52 @@ def partition(spark: SparkSession, path: str, output: str, key: str, parts: int
         raise PackageError("one part is no partition")
     keys = sets.members([frame(spark, p, d).select(F.col(key).alias("key")) for d in p.datasets], "key", "union")
     edges = [r[0] for r in keys.repartitionByRange(n, "key").groupBy(F.spark_partition_id()).agg(F.max("key").alias("m")).orderBy("m").select("m").collect()]  # one for each part
-    out, low = [], None
-    for i, high in enumerate(edges):
-        last = i == len(edges) - 1
+    roots = [f"{output.rstrip('/')}/part-{i:05d}" for i in range(len(edges))]
+    dealt = [_dealt(spark, p, x, key, edges[:-1], roots) for x in p.datasets]
+    out = []
+    for i, root in enumerate(roots):
+        d = replace(p.definition, name=f"{p.definition.name} part {i + 1} of {len(edges)}", lineage=replace(p.definition.lineage, parents=(p.path,), operation="partition"))
+        part = Package(root, d, tuple(x[i] for x in dealt))
+        entry = model.Revision(d.revision, "Create", d.created_by or AUTHOR, model.now(), (), part.num_rows)
+        history = (*d.history[:-1], replace(d.history[-1], size=part.num_rows)) if d.history else (entry,)
+        out.append(_commit(spark, replace(part, definition=replace(d, history=history))))
+    return out
 
-        def within(df: DataFrame, low=low, high=high, first=i == 0, last=last) -> DataFrame:
-            k = F.col(key)
-            kept = (k.isNull() if first else F.lit(False)) | ((F.lit(True) if low is None else k > F.lit(low)) & (F.lit(True) if last else k <= F.lit(high)) & k.isNotNull())
-            return df.where(kept)
 
-        d = replace(p.definition, name=f"{p.definition.name} part {i + 1} of {len(edges)}", lineage=replace(p.definition.lineage, parents=(p.path,), operation="partition"))
-        out.append(write_package(spark, f"{output.rstrip('/')}/part-{i:05d}", d, {x.label: within(frame(spark, p, x)) for x in p.datasets}))
-        low = high
+def _dealt(spark: SparkSession, p: Package, d: Dataset, key: str, edges: list[Any], roots: list[str]) -> list[Dataset]:
+    """A dataset cut at ``edges`` into one dataset for each root: one pass over its rows, one folder moved to each root.
+
+    Null keys are in the first part. Rows are dealt by part and a hash, so that a key which many rows have is written by
+    several tasks.
+    """
+    df = frame(spark, p, d)
+    k, kinds = F.col(key), dict(df.dtypes)
+    if "__part" in map(str.lower, kinds):
+        raise PackageError(f"dataset {d.label!r} has a column __part")
+    bounds = F.array(*map(F.lit, edges)).cast(f"array<{next(t for c, t in kinds.items() if c.lower() == key.lower())}>")
+    number = F.when(k.isNull() | F.lit(not edges), 0).otherwise(F.size(F.filter(bounds, lambda e: e < k)))
+    shape = [F.col(f"`{c}`").cast("string").alias(c) if kind == "void" else F.col(f"`{c}`") for c, kind in kinds.items()]
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind])
+    name, at = f"data/{uuid.uuid4().hex[:12]}", f"{roots[0].rsplit('/', 1)[0]}/_dealt-{uuid.uuid4().hex[:12]}"
+    stored = df.select(*shape)
+    files = max(len(roots), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = stored.withColumn("__part", number.cast("int")).repartitionByRange(files, F.col("__part"), hashed)
+    placed.write.option("compression", "zstd").option("maxRecordsPerFile", PART_ROWS).partitionBy("__part").parquet(at)
+    there = {c.lower() for c in kinds}
+    tested = [s for s in (p.definition.selectors if p.definition.logic.upper() == "AND" else ()) if s.field.lower() in there and not s.is_exclusion]
+    misses = [F.sum(F.when(F.coalesce(of_selector(s).column(), F.lit(False)), 0).otherwise(1)).alias(f"misses_{i}") for i, s in enumerate(tested)]
+    schema = StructType([*stored.schema.fields, StructField("__part", IntegerType())])
+    seen = {r["__part"]: r for r in spark.read.schema(schema).parquet(at).groupBy("__part").agg(F.count(F.lit(1)).alias("rows"), *misses).collect()}
+    out = []
+    for i, root in enumerate(roots):
+        r = seen.get(i)
+        if r:
+            store.move(spark, f"{at}/__part={i}", f"{root}/{name}")
+        else:
+            store.folder(spark, f"{root}/{name}")
+        verified = tuple(s for j, s in enumerate(tested) if not r or not r[f"misses_{j}"])
+        out.append(Dataset(d.label, name, int(r["rows"]) if r else 0, json.dumps(json.loads(stored.schema.json())), verified))
+    store.delete(spark, at, True)
     return out
 
 

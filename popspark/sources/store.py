@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -23,19 +26,32 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Written beside its place first, then moved: readers see the old text or the new one."""
-    fs, p = _at(spark, path)
+    """Written beside its place first, then moved over it in one step: readers see the old text or the new one."""
+    jvm, (fs, p) = spark._jvm, _at(spark, path)
     fs.mkdirs(p.getParent())
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.new")
+    tmp = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex[:8]}.new")
     out = fs.create(tmp, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"could not write {path}")
+    how = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(how, 1)
+    over[0] = how.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(fs.makeQualified(tmp), fs.makeQualified(p), over)
+
+
+def folder(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.mkdirs(p)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """A folder moved to a place where nothing is."""
+    (fs, a), (_, b) = _at(spark, old), _at(spark, new)
+    fs.mkdirs(b.getParent())
+    if fs.exists(b) or not fs.rename(a, b):
+        raise OSError(f"could not move {old} to {new}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -65,9 +81,6 @@ def scratch(spark: SparkSession, kind: str) -> str:
     Where it is unset, a local master gets a temporary folder; on a cluster that is an error, as executors could not
     see each other's files.
     """
-    import tempfile
-    import uuid
-
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         master = spark.sparkContext.master

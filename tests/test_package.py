@@ -86,6 +86,46 @@ def test_append_rules(spark, tmp_path):
     assert ids_of(spark, package.open_package(spark, p.path, 1)) == [1, 2]  # time travel
 
 
+def test_changes_write_only_the_folders_they_meet(spark, tmp_path):
+    p = make(spark, tmp_path / "c/a", [1, 2, None], "patient_id", selectors=(Selector("s", "diagnosis", "eq", "E11.0"),))
+    for ids in ([3, 4], [5, 6]):
+        p = package.append(spark, p.path, rows(spark, ids))
+    first, second, third = p.datasets[0].folders
+    assert [first[1], second[1], third[1]] == [3, 2, 2] and p.num_rows == 7 and [s.selector_id for s in p.datasets[0].verified] == ["s"]
+    assert package.open_package(spark, p.path) == p and ids_of(spark, p) == [1, 2, 3, 4, 5, 6, None]
+    p = package.delete_rows(spark, p.path, "patient_id", [4])
+    assert first in p.datasets[0].folders and third in p.datasets[0].folders and second not in p.datasets[0].folders
+    assert package.delete_rows(spark, p.path, "patient_id", [99]).datasets == p.datasets
+    p = package.upsert(spark, p.path, "Claims-v1", "patient_id", rows(spark, [5, None, 8], "new"))
+    assert first in p.datasets[0].folders and third not in p.datasets[0].folders and p.datasets[0].verified == ()
+    assert ids_of(spark, p) == [1, 2, 3, 5, 6, 8, None, None] and p.num_rows == 8
+    assert package.upsert_keys(spark, p.path, "Claims-v1", rows(spark, [1, 9]), ["patient_id"]) == (1, 1)
+    c = Catalog(spark, str(tmp_path / "c"))
+    assert sorted(r[0] for r in c.sql("SELECT patient_id FROM claims_v1 WHERE diagnosis = 'new' AND patient_id > 0").collect()) == [5, 8]
+    q = package.compact(spark, p.path, "Claims-v1")
+    assert len(q.datasets[0].folders) == 1 and ids_of(spark, q) == [1, 2, 3, 5, 6, 8, 9, None, None]
+    assert ids_of(spark, package.open_package(spark, p.path, 1)) == [1, 2, None]
+    copy = package.append(spark, q.path, rows(spark, [7]), output=str(tmp_path / "copy"))
+    assert ids_of(spark, copy) == [1, 2, 3, 5, 6, 7, 8, 9, None, None] and ids_of(spark, package.open_package(spark, q.path)) == ids_of(spark, q)
+
+
+def test_pruning_after_appends_is_sound(spark, tmp_path):
+    p = make(spark, tmp_path / "c/a", [1], dx="A", selectors=(Selector("s", "diagnosis", "eq", "A"),))
+    package.append(spark, p.path, rows(spark, [2], "A"))
+    c = Catalog(spark, str(tmp_path / "c"))
+    assert c.sql("SELECT * FROM claims_v1 WHERE diagnosis = 'B'").count() == 0 and c.scan("Claims-v1", "diagnosis = 'A'").count() == 2
+    package.append(spark, p.path, rows(spark, [3], "B"))
+    c.refresh()
+    assert c.sql("SELECT * FROM claims_v1 WHERE diagnosis = 'B'").count() == 1 and c.scan("Claims-v1", "diagnosis = 'B'").count() == 1
+
+
+def test_text_is_replaced(spark, tmp_path):
+    for text in ("one", "two"):
+        store.write_text(spark, str(tmp_path / "d/x.json"), text)
+        assert store.read_text(spark, str(tmp_path / "d/x.json")) == text
+    assert [n for n in store.names(spark, str(tmp_path / "d")) if n.endswith(".new")] == []
+
+
 def test_delete_rows_keeps_null_keys_and_drops_emptied_datasets(spark, tmp_path):
     p = package.write_package(spark, str(tmp_path / "a"), Definition("a"), {"A": rows(spark, [1, 2, None]), "B": rows(spark, [2])})
     p = package.delete_rows(spark, p.path, "patient_id", ["2", "x"])
@@ -140,6 +180,12 @@ def test_partition_by_key_ranges(spark, tmp_path):
     assert len(made) == 3 and sum(x.num_rows for x in made) == 81
     spans = [sorted(i for d in ("A", "B") for i in ids_of(spark, x, d) if i is not None) for x in made]
     assert all(a[-1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert None in ids_of(spark, made[0], "A") and all(x.num_rows == sum(len(ids_of(spark, x, d.label)) for d in x.datasets) for x in made)
+    assert [x.definition.history[-1].size for x in made] == [x.num_rows for x in made] and package.open_package(spark, made[1].path) == made[1]
+    hot = package.write_package(spark, str(tmp_path / "hot"), Definition("hot", selectors=(Selector("s", "diagnosis", "eq", "x"),)), {"A": rows(spark, [5] * 300, "x"), "B": rows(spark, [1, 9], "y")})
+    parts = package.partition(spark, hot.path, str(tmp_path / "hot-parts"), "patient_id", parts=3)
+    assert sum(x.num_rows for x in parts) == 302 and sum(x.dataset("A").num_rows == 300 for x in parts) == 1
+    assert all([s.selector_id for s in x.dataset("A").verified] == ["s"] for x in parts) and not store.exists(spark, str(tmp_path / "hot-parts/_dealt"))
     with pytest.raises(PackageError):
         package.partition(spark, p.path, str(tmp_path / "one"), "patient_id", parts=1)
 
