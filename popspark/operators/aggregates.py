@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import scratch
 
+#: Keys of one bucket of a bitmap, as ``bitmap_bucket_number`` deals them.
+BUCKET = 32_768
+
 
 def cardinality_rank(df: DataFrame) -> DataFrame:
     """column, distinct values, rank; booleans and columns of nulls left out. One pass."""
@@ -26,6 +30,19 @@ def bitmap_size(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).cast("long").alias("cardinality"))
 
 
+def bitmap_keys(bitmaps: DataFrame, key: str) -> DataFrame:
+    """The whole numbers in bitmaps, one row each. A bucket above 0 starts at 1 and counts up, the others count down."""
+    import pandas as pd
+
+    def ids(batches):
+        for b in batches:
+            for bucket, bits in zip(b["bucket"], b["bitmap"], strict=True):
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")).astype(np.int64)
+                yield pd.DataFrame({key: (bucket - 1) * BUCKET + at + 1 if bucket > 0 else bucket * BUCKET - at})
+
+    return bitmaps.select("bucket", "bitmap").mapInPandas(ids, f"`{key}` bigint")
+
+
 def bitmap_union(bitmaps: list[DataFrame]) -> DataFrame:
     out = bitmaps[0]
     for b in bitmaps[1:]:

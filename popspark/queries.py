@@ -11,7 +11,7 @@ from .functions import scalars as X
 from .model import Definition, Lineage, Selector
 from .operators import aggregates, audit, filters, joins, lineage, mutations, policy, sets, similarity
 from .plans.catalog import Catalog
-from .sources import package, store
+from .sources import package, store, universe, variants
 from .streaming import increments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -544,6 +544,32 @@ def hits_lookup_join(spark, d):
     return similarity.hits_with_rows(_all_hits(spark, d).drop("vec_id"), t(spark, d, "embeddings").select("label", "vec_id"), "label", [F.col("vec_id")], 5)
 
 
+def _universe(spark, d, key, **how):
+    root = store.scratch(spark, "universe")
+    source = {"Vectors": t(spark, d, "embeddings")} if "embedding" in how else {"Parts": t(spark, d, "part")}
+    package.write_package(spark, f"{root}/p", Definition("p"), source)
+    return universe.build(spark, f"{root}/p", next(iter(source)), key, f"{root}/u", **how)
+
+
+@query(f"SELECT vec_id, score FROM {NEAR} ORDER BY score DESC, vec_id LIMIT 10")
+def universe_search_by_key(spark, d):
+    u = _universe(spark, d, "vec_id", embedding="embedding")
+    return universe.search_by_key(spark, u, 7, 10).select("vec_id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT p_partkey FROM part")
+def universe_members(spark, d):
+    u = _universe(spark, d, "p_partkey", text=F.col("p_name"))
+    return universe.members_of(spark, u).select(F.col("p_partkey").cast("bigint").alias("p_partkey"))
+
+
+@query("SELECT DISTINCT o_custkey AS id FROM orders")
+def bitmap_package_ids(spark, d):
+    path = store.scratch(spark, "bitmap")
+    variants.write_bitmap(spark, path, Definition("b"), t(spark, d, "orders"), "o_custkey")
+    return variants.read_any(spark, path)["members"]
+
+
 @query("SELECT c_custkey, 'Name: ' || c_name || '. Segment: ' || c_mktsegment AS text, CASE WHEN length('Name: ' || c_name || '. Segment: ' || c_mktsegment) > 30 THEN substr('Name: ' || c_name || '. Segment: ' || c_mktsegment, 1, 30) || '...' ELSE 'Name: ' || c_name || '. Segment: ' || c_mktsegment END AS preview FROM customer")
 def record_texts(spark, d):
     c = t(spark, d, "customer")

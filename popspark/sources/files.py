@@ -83,6 +83,11 @@ def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "namespace string, name string, kind string")
 
 
+def list_namespaces(spark: SparkSession) -> DataFrame:
+    rows = [(d.catalog, d.name) for d in spark.catalog.listDatabases()]
+    return spark.createDataFrame(rows, "catalog string, namespace string")
+
+
 def discover(spark: SparkSession, database: str, detailed: bool = False) -> DataFrame:
     """Columns of all tables of a database; ``detailed`` adds least, greatest and distinct values, a pass for each table."""
     rows: list[tuple[Any, ...]] = []

@@ -3,12 +3,13 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from popspark import cli
 from popspark.model import Definition, Delta, Lineage, ModelError, Revision, Selector
 from popspark.operators import lineage
 from popspark.plans.catalog import Catalog
-from popspark.sources import files, package, store
+from popspark.sources import files, package, store, universe, variants
 from popspark.sources.package import PackageError
 
 KEYS = "patient_id int, diagnosis string"
@@ -241,6 +242,42 @@ def test_catalog_tables(spark, tmp_path):
         c.tables()
 
 
+def test_universes_are_kept_and_searched(spark, tmp_path):
+    df = spark.createDataFrame([(1, "red apple"), (1, "blue"), (2, "red pear"), (3, "green"), (-40000, ""), (None, "red apple")], "k int, t string")
+    p = package.write_package(spark, str(tmp_path / "a"), Definition("a"), {"T": df})
+    u = universe.build(spark, p.path, "T", "k", str(tmp_path / "u"), text=F.col("t"))
+    assert (u.num_vectors, u.dimension, u.cardinality, u.version) == (6, 256, 4, 1)
+    assert universe.build(spark, p.path, "T", "k", str(tmp_path / "u"), text=F.col("t")) == u == universe.open_universe(spark, u.folder)
+    assert ids_in(universe.members_of(spark, u)) == [-40000, 1, 2, 3]
+    found = universe.search_by_text(spark, u, "red apple", 3).collect()
+    assert {(r.k, round(r.score, 6), r.metadata) for r in found[:2]} == {(1, 1.0, "red apple"), (None, 1.0, "red apple")} and found[2].k == 2
+    assert [r.k for r in universe.search_by_key(spark, u, 2, 2).where("k IS NOT NULL").collect()] == [1] and universe.search_by_key(spark, u, 77).count() == 0
+    package.append(spark, p.path, spark.createDataFrame([(9, "red")], "k int, t string"))
+    again = universe.build(spark, p.path, "T", "k", str(tmp_path / "u"), text=F.col("t"))
+    assert (again.num_vectors, again.version, again.vectors != u.vectors) == (7, 2, True)
+    with pytest.raises(PackageError):
+        universe.build(spark, p.path, "T", "k", str(tmp_path / "u"))
+
+
+def ids_in(df):
+    return sorted(r[0] for r in df.collect())
+
+
+def test_variants(spark, tmp_path):
+    ids = [-65536, -32768, -5, 0, 1, 5, 32768, 32769, 2**40]
+    df = spark.createDataFrame([(i,) for i in [*ids, *ids, None]], "k bigint")
+    variants.write_bitmap(spark, str(tmp_path / "b"), Definition("b"), df, "k")
+    assert ids_in(variants.read_any(spark, str(tmp_path / "b"))["members"]) == ids
+    rowed = make(spark, tmp_path / "r", [1, 2])
+    assert list(variants.read_any(spark, rowed.path)) == ["Claims-v1"] and variants.variant(rowed).name == "rows"
+    spark.range(3).createOrReplaceTempView("variant_t")
+    package.reference_package(spark, str(tmp_path / "t"), Definition("t"), {"T": "variant_t"})
+    assert [variants.inspect_any(spark, str(tmp_path / n)).first().variant for n in "brt"] == ["bitmap", "rows", "references"]
+    with pytest.raises(PackageError, match="there is"):
+        variants.register(variants.VARIANTS[0])
+    assert "default" in {r.namespace for r in files.list_namespaces(spark).collect()}
+
+
 def test_lineage_edges(spark, tmp_path):
     a = make(spark, tmp_path / "a", [1], lineage=Lineage(("sys",), ("t1", "t2")))
     u = package.union(spark, [a.path, a.path], str(tmp_path / "u, v"))
