@@ -323,7 +323,9 @@ def running_sum(spark, d):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM events")
 def range_frame(spark, d):
-    e = t(spark, d, "events").withColumn("s", F.unix_timestamp(F.date_trunc("second", "ts")))
+    # Whole seconds as the SQL's cast makes them: rounded, halves to the even one; in no zone.
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    e = t(spark, d, "events").withColumn("s", F.rint(micros / F.lit(1e6)).cast("long"))
     return e.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("s").rangeBetween(-86400, 0)).alias("n"))
 
 

@@ -40,3 +40,15 @@ def test_query(spark, oracle, name):
     assert sorted(found.columns) == sorted(df.columns)
     at = [found.columns.index(c) for c in sorted(df.columns)]
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=str)
+
+
+def test_range_frame_rounds_parts_of_a_second(spark, tmp_path):
+    start, us = datetime.datetime(2024, 1, 1), (0, 499_999, 500_000, 500_001, 999_999)
+    at = [start + datetime.timedelta(days=k, seconds=s, microseconds=u) for k in (0, 1, 2) for s in (0, 1, 2) for u in us]
+    at += [datetime.datetime(1969, 12, 31, 23, 59, s, 500_000) for s in (57, 58, 59)]
+    rows = [(i, t, i % 2) for i, t in enumerate(at)] + [(1000, None, 0), (1001, None, 0), (1002, start, None)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["range_frame"](spark, str(tmp_path)).select("event_id", "n").collect()]
+    assert sorted(got) == sorted(c.sql(ORACLE_SQL["range_frame"]).fetchall())
