@@ -93,11 +93,11 @@ def _transformed() -> list[Column]:
     return [F.ln(F.greatest(F.col("word_chars"), F.lit(1)) / n), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words"), F.ln(n.cast("double"))]
 
 
-def _same_group(a: str, b: str, keys: tuple[str, str]) -> Column:
-    return F.col(f"{a}.{keys[0]}").eqNullSafe(F.col(f"{b}.{keys[0]}")) & F.col(f"{a}.{keys[1]}").eqNullSafe(F.col(f"{b}.{keys[1]}"))
+def _same_group(a: str, b: str, keys: tuple[str, ...]) -> Column:
+    return reduce(and_, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
 
 
-def _decomposed(est: DataFrame, p: Params, keys: tuple[str, str]) -> DataFrame:
+def _decomposed(est: DataFrame, p: Params, keys: tuple[str, ...]) -> DataFrame:
     """Mean and covariance -> mean, Cholesky factor ``l<i><j>`` and log determinant, one column after the other."""
     out = est
     for i in range(5):
@@ -134,17 +134,17 @@ def fit(stats: DataFrame, p: Params | None = None, keys: tuple[str, str] = ("lan
     spread = rows.alias("r").join(middle.alias("g"), _same_group("r", "g", keys)).groupBy(*[F.col(f"g.{k}").alias(k) for k in keys]).agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(5)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, x in enumerate(X)])
     robust = spread.select(*keys, "n", *[f"m{i}" for i in range(5)], *[(F.pow(1.4826 * F.col(f"d{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in range(5) for j in range(i, 5)])
     plain = rows.groupBy(*keys).agg(*_moments(keys)).where(F.col("n") >= p.least_rows)
-    ended = []
-    for start, first in (("robust", robust), ("plain", plain)):
-        est = written(_decomposed(first, p, keys), f"mcd-{start}")
-        for _ in range(p.steps):
-            near = rows.alias("r").join(est.alias("g"), _same_group("r", "g", keys)).select(*[F.col(f"g.{k}").alias(k) for k in keys], *X, _distance().alias("__d"))
-            limit = near.groupBy(*keys).agg(F.percentile_approx("__d", p.share, 1000).alias("__most"))
-            kept = near.alias("r").join(limit.alias("g"), _same_group("r", "g", keys)).where(F.col("__d") <= F.col("__most")).select(*[F.col(f"r.{k}").alias(k) for k in keys], *X)
-            est = written(_decomposed(kept.groupBy(*keys).agg(*_moments(keys)), p, keys), f"mcd-{start}")
-        ended.append(est)
+    # Both starts go through the steps together, so the driver plans each step once.
+    each = (*keys, "__start")
+    starts = [_decomposed(first, p, keys).withColumn("__start", F.lit(i)) for i, first in enumerate((robust, plain))]
+    est = written(starts[0].unionByName(starts[1]), "mcd-start")
+    for _ in range(p.steps):
+        near = rows.alias("r").join(est.alias("g"), _same_group("r", "g", keys)).select(*[F.col(f"g.{k}").alias(k) for k in each], *X, _distance().alias("__d"))
+        limit = near.groupBy(*each).agg(F.percentile_approx("__d", p.share, 1000).alias("__most"))
+        kept = near.alias("r").join(limit.alias("g"), _same_group("r", "g", each)).where(F.col("__d") <= F.col("__most")).select(*[F.col(f"r.{k}").alias(k) for k in each], *X)
+        est = written(_decomposed(kept.groupBy(*each).agg(*_moments(keys)), p, each), "mcd-step")
     best = F.min(F.struct("log_det", "n", *[f"m{i}" for i in range(5)], *[f"l{i}{j}" for i in range(5) for j in range(i + 1)])).alias("b")
-    return ended[0].unionByName(ended[1]).groupBy(*keys).agg(best).select(*keys, "b.*")
+    return est.groupBy(*keys).agg(best).select(*keys, "b.*")
 
 
 def fit_all(stats: DataFrame, p: Params | None = None, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
